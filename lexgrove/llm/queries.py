@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import exact_dedup, quality
+from lexgrove.llm import exact_dedup, mixing, quality
 
 QUERIES = {
     "op5_quality_rules": quality.op5_quality,
+    "op7_mixing": mixing.op7_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op5_quality_rules": quality.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
