@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrove.llm.cluster import cut
+
 #: Salted groups a repeated digest is merged in before the winners meet.
 SALTS = 16
 
@@ -42,7 +44,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
         normalised(F.col("_text")).alias("_content"),
     ).withColumn("_digest", digest(F.col("_content")))
     sha = F.sha2(F.col("_content"), 256)
-    keyed = full.select("doc_id", "_digest", *([] if digest is sha256 else [sha.alias("_sha")]))
+    keyed = cut(full.select("doc_id", "_digest", *([] if digest is sha256 else [sha.alias("_sha")])))
 
     repeated = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
     members = full.join(repeated, "_digest", "left_semi")
@@ -51,7 +53,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
     merged = salted.groupBy("_digest", "_content").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
     groups = merged.select("_digest", "_content", (-F.col("_best._neg")).alias("keep_id"), F.col("_n").alias("group_size"))
 
-    by_digest = groups.groupBy("_digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_contents"))
+    by_digest = cut(groups.groupBy("_digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_contents")))
     plain = keyed.join(by_digest, "_digest", "left").where("_contents is null or _contents = 1")
     shown = F.lower(F.hex("_digest")) if digest is sha256 else F.col("_sha")
     out = plain.select(
@@ -61,12 +63,10 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
         shown.alias("text_sha256"),
     )
     clash = by_digest.where("_contents > 1").select("_digest")
-    apart = (
-        members.join(clash, "_digest", "left_semi")
-        .join(groups, ["_digest", "_content"])
-        .select("doc_id", "keep_id", "group_size", sha.alias("text_sha256"))
-    )
-    return out.unionByName(apart).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    if not clash.isEmpty():  # contents that share a digest: their rows find their group by content
+        apart = full.join(clash, "_digest", "left_semi").join(groups.join(clash, "_digest", "left_semi"), ["_digest", "_content"])
+        out = out.unionByName(apart.select("doc_id", "keep_id", "group_size", sha.alias("text_sha256")))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
