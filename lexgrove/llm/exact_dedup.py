@@ -46,7 +46,8 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
     sha = F.sha2(F.col("_content"), 256)
     keyed = cut(full.select("doc_id", "_digest", *([] if digest is sha256 else [sha.alias("_sha")])))
 
-    repeated = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
+    # written first: a side that is read from a table can be split where the other side is skewed
+    repeated = cut(keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest"))
     members = full.join(repeated, "_digest", "left_semi")
     best = F.max(F.struct(F.col("_len"), (-F.col("doc_id")).alias("_neg"))).alias("_best")
     salted = members.groupBy("_digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("_salt"), "_content").agg(best, F.count(F.lit(1)).alias("_n"))

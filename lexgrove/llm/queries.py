@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import exact_dedup, mixing, quality
+from lexgrove.llm import exact_dedup, mixing, packing, quality, token_counts, toxicity
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_packing": packing.op3_packing,
     "op5_quality_rules": quality.op5_quality,
     "op7_mixing": mixing.op7_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
