@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import exact_dedup, mixing, packing, quality, token_counts, toxicity
+from lexgrove.llm import exact_dedup, mixing, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_packing": packing.op3_packing,
     "op5_quality_rules": quality.op5_quality,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,

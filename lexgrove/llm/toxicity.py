@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are the 64-bit hashes of its words (A-Z lowered, marks at either end stripped) and of the
-first four and five bytes of longer words. score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)
+first four to eight bytes of longer words, so that an insult is known with any ending. score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)
 with x_i = 1 for a term that occurs: the pair part learns interactions (an insult beside a group mention)
 that additive weights miss.
 
@@ -30,7 +30,8 @@ from lexgrove.llm.textkernel import BYTE_CODE_LOWER, U64, Words, mix, segment_ha
 #: Labelled documents the machine is fitted on, at most (in expectation; chosen by hash).
 MAX_TRAIN = 16_384
 MAX_TERMS = 1_024
-MIN_Z = 5.0
+MIN_Z = 4.5
+PREFIXES = (4, 5, 6, 7, 8)
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -51,8 +52,8 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s += front
     codes = BYTE_CODE_LOWER[w.data]
     parts, rows = [segment_hash(codes, s, e)], [row]
-    for k in (4, 5):
-        long = e - s >= 6
+    for k in PREFIXES:
+        long = e - s > k
         parts.append(mix(segment_hash(codes, s[long], s[long] + k) ^ U64(k)))
         rows.append(row[long])
     return np.concatenate(rows), np.concatenate(parts).view(np.int64)
@@ -77,7 +78,7 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = 30,
     rng = np.random.default_rng(7)
     p = np.concatenate([[np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))], np.zeros(k), rng.normal(0, 0.01, k * factors)])
     m, s, t = np.zeros_like(p), np.zeros_like(p), 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-600 * batch // max(n, 1)))):  # 600 steps at least
         order = rng.permutation(n)
         for i in range(0, n, batch):
             xb, yb = x[order[i : i + batch]], y[order[i : i + batch]]
