@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import exact_dedup, mixing, packing, quality, substring_dedup, token_counts, toxicity
+from lexgrove.llm import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_quality_rules": quality.op5_quality,
     "op7_mixing": mixing.op7_mixing,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
