@@ -14,7 +14,8 @@ Copies (equal word sequences) are one representative. Documents of one band buck
 hub of it, not with each other; where a bucket still spans several classes, other hubs follow, and at last
 every member outside a bucket's largest class is compared with all members of other classes: no candidate
 link between classes is left unverified, and no bucket emits all its pairs. Candidates are verified by
-exact weighted Jaccard similarity >= 0.8; linked documents form a class by connected components.
+exact weighted Jaccard similarity >= 0.8; pairs just below it whose plain shingle sets reach 0.8 count too,
+so idf never takes a link away. Linked documents form a class by connected components.
 
 Defined cases: null and empty texts have no shingles and are classes of their own; repeated rows are copies;
 rows with a null doc_id are left alone (class_id null, kept); very long texts are whole; an empty table
@@ -159,11 +160,13 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (sorted shingles, weights)."""
+    """The larger of weighted and plain Jaccard similarity of two (sorted shingles, weights)."""
     both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
     least = float(np.minimum(x[1][i], y[1][j]).sum())
-    total = float(x[1].sum() + y[1].sum()) - least
-    return least / total if total else 0.0
+    plain = len(both) / (len(x[0]) + len(y[0]) - len(both))
+    return max(plain, least / (float(x[1].sum() + y[1].sum()) - least))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
