@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from lexgrove.llm import exact_dedup, maxent, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_packing": packing.op3_packing,
     "op5_quality_rules": quality.op5_quality,
+    "op6_lm_scoring": maxent.op6_lm_scoring,
     "op7_mixing": mixing.op7_mixing,
     "op8_minhash_near_dedup": near_dedup.op8_minhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
