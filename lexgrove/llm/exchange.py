@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexgrove.llm.cluster import scan_partitions, shuffle_partitions
 
 #: Bytes of a table's files that a chunk is to hold, about.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 MAX_PARTS = 32_768
 #: Where a null doc_id stands in the order of documents: last.
 LAST = np.iinfo(np.int64).max

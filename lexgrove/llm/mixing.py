@@ -108,9 +108,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix has them: a document whose taken words are half its size or more stands once, one
     and a half or more twice, others not. Rows that share a doc_id share its decision."""
-    times = mix(docs, **options).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("_times")).where("_times > 0")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    times = mix(docs, **options).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__mix_times")).where("__mix_times > 0").withColumnRenamed("doc_id", "__mix_doc")
+    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__mix_doc"))).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times").cast("long"))))
+    return out.select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

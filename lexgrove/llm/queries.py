@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import exact_dedup, maxent, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from lexgrove.llm import exact_dedup, licenses, maxent, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_packing": packing.op3_packing,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_rules": quality.op5_quality,
     "op6_lm_scoring": maxent.op6_lm_scoring,
     "op7_mixing": mixing.op7_mixing,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op4_license_scan": licenses.oracle_sql(),
     "op5_quality_rules": quality.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,

@@ -168,8 +168,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if not len(table):
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.string()))})
         chunk, doc_ids, _, texts = X.ordered(table)
-        split = [t.as_py().encode().split() for t in texts]
-        first = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(Words(texts.slice(i, j - i), hashes=False).counts for i, j in slices(texts))]))]).astype(np.int64)
         own = next(b for p, b in zip(answers["_part"].to_pylist(), answers["answer"].to_pylist()) if p == parts + chunk)
         n_here, n_lead = np.frombuffer(own, np.int64, 2)
         body = own[16:]
@@ -188,7 +187,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         removed = np.zeros(len(keep) + 1, dtype=np.int64)
         np.cumsum(~keep, out=removed[1:])
         removed = removed[first[1:]] - removed[first[:-1]]
-        kept = [b" ".join(s if not r else list(itertools.compress(s, keep[a:b]))).decode() for s, r, a, b in zip(split, removed, first, first[1:])]
+        kept = [b" ".join(t.as_py().encode().split() if not r else list(itertools.compress(t.as_py().encode().split(), keep[a:b]))).decode() for t, r, a, b in zip(texts, removed, first, first[1:])]
         return pa.table({"doc_id": doc_ids, "n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())})
 
     seen = X.answer(X.ask(chunks, send_anchors), repeated)
