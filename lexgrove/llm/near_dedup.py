@@ -11,10 +11,9 @@ a pair misses all 20 bands with probability 2.6e-5. The random numbers of a shin
 tables indexed by its hash.
 
 Copies (equal word sequences) are one representative. Documents of one band bucket are compared with one
-hub of it, not with each other; where a bucket still spans several classes, other hubs follow, and at last
-every member outside a bucket's largest class is compared with all members of other classes: no candidate
-link between classes is left unverified, and no bucket emits all its pairs. Candidates are verified by
-exact weighted Jaccard similarity >= 0.8; pairs just below it whose plain shingle sets reach 0.8 count too,
+hub of it, the member with most company. Where the documents of a hub still span several classes, those
+outside the largest are compared with all of the other classes in blocks, by matrix products inside a task:
+no candidate link between classes is left unverified, and no pair is a row. Candidates are verified by exact weighted Jaccard similarity >= 0.8; pairs just below it whose plain shingle sets reach 0.8 count too,
 so idf never takes a link away. Linked documents form a class by connected components.
 
 Defined cases: null and empty texts have no shingles and are classes of their own; repeated rows are copies;
@@ -41,7 +40,8 @@ BANDS, ROWS = 20, 4
 IDF_SPREAD = 0.1
 COUNTERS = 1 << 20
 SLICE = 1 << 14
-HUB_ROUNDS = 2
+#: Documents of one side of a block comparison, about.
+BLOCK = 256
 TABLE_BITS = 14
 
 
@@ -192,7 +192,79 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHO
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def block_links(few: list, others: list, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between two lists of (doc_id, label, text), one for each few and other label at most.
+
+    Intersections of a whole block come from one product of incidence matrices: the weight shared by two
+    bags is the sum over levels of tf, min(tf) = sum over k of [tf >= k] [tf' >= k].
+    """
+    docs = few + others
+    row, h, tf, _ = shingles(pa.array([t for _, _, t in docs], pa.large_string()))
+    shown, at = np.unique(h, return_inverse=True)
+    weight = idf[counter(shown)].astype(np.float64)
+    sizes = np.bincount(row, minlength=len(docs)).astype(np.float64)
+    totals = np.bincount(row, weights=tf * weight[at], minlength=len(docs))
+    n, shape = len(few), (len(few), len(others))
+    plain, shared = np.zeros(shape), np.zeros(shape)
+    level = 1
+    while len(row):
+        left, right = row < n, row >= n
+        common = np.intersect1d(at[left], at[right])
+        if not len(common):
+            break
+        place = np.full(len(shown), -1)
+        place[common] = np.arange(len(common))
+        for i in range(0, len(common), 4096):
+            x, y = np.zeros((n, min(4096, len(common) - i)), np.float32), np.zeros((len(others), min(4096, len(common) - i)), np.float32)
+            inside = (place[at] >= i) & (place[at] < i + 4096)
+            x[row[inside & left], place[at[inside & left]] - i] = 1
+            y[row[inside & right] - n, place[at[inside & right]] - i] = 1
+            if level == 1:
+                plain += x @ y.T
+            shared += (x * weight[common[i : i + 4096]].astype(np.float32)) @ y.T
+        level += 1
+        more = tf >= level
+        row, at, tf = row[more], at[more], tf[more]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        likeness = np.maximum(plain / (sizes[:n, None] + sizes[None, n:] - plain), shared / (totals[:n, None] + totals[None, n:] - shared))
+    label = np.array([x[1] for x in others])
+    near = np.nan_to_num(likeness) >= threshold - 1e-6
+    near &= np.array([x[1] for x in few])[:, None] != label[None, :]
+    out = []
+    for i in np.flatnonzero(near.any(1)):
+        js = np.flatnonzero(near[i])
+        out += [(few[i][0], others[j][0]) for j in js[np.unique(label[js], return_index=True)[1]]]
+    return out
+
+
+def rest_of(groups: DataFrame, labels: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that comparing with hubs alone would lose.
+
+    In every hub's group that still spans classes, all documents outside the largest class (few) are compared
+    with all documents of other classes, block by block: rows sent grow with documents times blocks.
+    """
+    state = groups.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    sizes = state.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("_n"))
+    top = sizes.groupBy("hub").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_labels")).where("_labels > 1 and _all > 2")
+    top = cut(top.select("hub", F.col("_top.label").alias("_top"), F.greatest(F.lit(1), F.ceil(F.col("_all") / block)).cast("int").alias("_blocks"), F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_top._n")) / block)).cast("int").alias("_few")))
+    rows = state.join(top, "hub").select(
+        "hub", "doc_id", "label", (F.col("label") != F.col("_top")).alias("is_few"), "_blocks", "_few",
+        F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int").alias("_ob"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_few")).cast("int").alias("_fb"),
+    )
+    left = rows.where("is_few").select("hub", "doc_id", "label", F.lit(0).alias("side"), F.col("_fb").alias("fb"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("ob"))
+    right = rows.select("hub", "doc_id", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("fb"), F.col("_ob").alias("ob"))
+
+    def run(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        for doc, label, side, text in zip(*(table[c].to_pylist() for c in ("doc_id", "label", "side", "text"))):
+            sides[side].append((doc, label, text))
+        found = block_links(sorted(sides[0]), sorted(sides[1]), idf.value, threshold) if sides[0] and sides[1] else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return left.unionByName(right).join(texts, "doc_id").groupBy("hub", "fb", "ob").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, copy_id, class_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
@@ -204,40 +276,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hub_rounds: i
     members = signed.join(copies, "copy_key").where("doc_id = copy_id").dropDuplicates(["doc_id", "copy_key"])
     # two texts may share one doc_id: such rows go by the doc_id they share
     posted = cut(members.select("doc_id", F.posexplode("bands").alias("band", "value")).distinct())
-    shared = posted.groupBy("band", "value").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("band", "value")
-    posted = cut(posted.join(cut(shared), ["band", "value"]))
+    shared = cut(posted.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+    posted = cut(posted.join(shared, ["band", "value"]))
     texts = cut(rows.join(posted.select("doc_id").distinct(), "doc_id", "left_semi").join(copies.select(F.col("copy_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-
-    links, labels, done = None, None, None
-    for turn in range(hub_rounds + 1):
-        state = posted if labels is None else posted.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        state = state.withColumn("label", F.col("doc_id") if labels is None else F.coalesce("component", "doc_id")).select("band", "value", "doc_id", "label")
-        mixed = state.groupBy("band", "value").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "label")).alias("_hub")).where("_low < _high")
-        if turn < hub_rounds:
-            hubs = cut(mixed.select("band", "value", F.col("_hub.doc_id").alias("b"), F.col("_hub.label").alias("_label")))
-            pairs = state.join(hubs, ["band", "value"]).where("label <> _label").select(F.col("doc_id").alias("a"), "b").distinct()
-        else:  # all the rest: members outside a bucket's largest class against members of other classes
-            active = state.join(cut(mixed.select("band", "value")), ["band", "value"])
-            sizes = active.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("_n"))
-            top = sizes.groupBy("band", "value").agg(F.max(F.struct("_n", "label")).alias("_top")).select("band", "value", F.col("_top.label").alias("_top"))
-            few = active.join(top, ["band", "value"]).where("label <> _top").select("band", "value", F.col("doc_id").alias("_few"), F.col("label").alias("_few_label"))
-            pairs = active.join(few, ["band", "value"]).where("label <> _few_label").select(F.least("doc_id", "_few").alias("a"), F.greatest("doc_id", "_few").alias("b")).distinct()
-        order = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if done is not None:
-            order = order.join(done, ["a", "b"], "left_anti")
-        order = cut(order)
-        if order.isEmpty():
-            break
-        done = order if done is None else done.unionByName(order)
-        found = cut(verified(order, texts, idf, threshold))
-        links = found if links is None else links.unionByName(found)
-        labels = cut(components(links))
+    # the hub of a bucket is its member with most company in all its buckets: in a group of copies, their origin
+    company = cut(posted.groupBy("doc_id").agg(F.sum("_size").alias("_company")))
+    hubs = cut(posted.join(company, "doc_id").groupBy("band", "value").agg(F.max(F.struct("_company", (-F.col("doc_id")).alias("_neg"))).alias("_hub")).select("band", "value", (-F.col("_hub._neg")).alias("hub")))
+    groups = cut(posted.join(hubs, ["band", "value"]).select("hub", "doc_id").distinct())
+    links = cut(verified(groups.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), texts, idf, threshold))
+    labels = cut(components(links))
+    links = cut(links.unionByName(rest_of(groups, labels, texts, idf, threshold)))
+    labels = cut(components(links))
 
     of_copy = signed.join(copies, "copy_key", "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"))
-    if labels is not None:
-        of_copy = of_copy.join(labels.select(F.col("node").alias("copy_id"), "component"), "copy_id", "left")
-    else:
-        of_copy = of_copy.withColumn("component", F.lit(None).cast("long"))
+    of_copy = of_copy.join(labels.select(F.col("node").alias("copy_id"), "component"), "copy_id", "left")
     out = of_copy.select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
