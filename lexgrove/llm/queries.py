@@ -17,9 +17,12 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
+def oracle_sql() -> dict[str, str]:
+    return ORACLE_SQL | {"op4_license_scan": licenses.oracle_sql()}
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
-    "op4_license_scan": licenses.oracle_sql(),
     "op5_quality_rules": quality.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
