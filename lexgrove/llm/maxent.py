@@ -40,16 +40,16 @@ CLASS_ROWS = WORD_ROWS + 2 * BUCKETS + PAIR_ROWS
 ROUNDS = 2
 FOLDS = 10
 UNSEEN = 0.1
-STEP = 4096
+STEP = 16_384
 RATE = 0.3
 BLOCK_ROWS = 1024
 END_KEY = U64(1)
 
 
 class Tokens:
-    """Tokens of a slice of texts: bucket, key and row of each, an end after every text."""
+    """Tokens of a slice of texts: bucket and key of each, an end after every text; with their context rows."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, context: bool = True):
         w = Words(column, lower=True)
         rows = len(w.counts)
         n = len(w.hashes)
@@ -68,6 +68,8 @@ class Tokens:
         self.hash[at] = w.hashes
         self.key = (self.bucket.astype(U64) << U64(54)) | (self.hash >> U64(10))
         self.counts = w.counts + 1
+        if not context:
+            return
         place = np.arange(total) - np.repeat(self.first[:-1], self.counts)
 
         def back(values: np.ndarray, k: int) -> np.ndarray:
@@ -97,17 +99,19 @@ class Model:
         self.bias, self.place_bias, self.by_class, self.by_place = (self.flat[a:b] for a, b in zip(cut, cut[1:]))
         self.seen = np.zeros((4, max(self.SIZES)), dtype=np.float32)
 
-    def scores(self, t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of every class, and of every place in the true class, for tokens a:b."""
-        z = self.bias + self.by_class[t.rows[0, a:b]]
-        for k in range(1, len(t.rows)):
-            z += self.by_class[t.rows[k, a:b]]
-        y = self.place_bias[t.bucket[a:b] >> 5]
-        for k in range(len(t.places)):
-            y = y + self.by_place[t.places[k, a:b]]
+    def logits(self, t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shifted logits (largest 0) of every class, and of every place in the true class, for tokens a:b."""
+        z, y, more = (np.empty((b - a, CLASSES), np.float32) for _ in range(3))
+        for out, table, rows in ((z, self.by_class, t.rows), (y, self.by_place, t.places)):
+            np.take(table, rows[0, a:b], axis=0, out=out, mode="clip")
+            for k in range(1, len(rows)):
+                np.take(table, rows[k, a:b], axis=0, out=more, mode="clip")
+                out += more
+        z += self.bias
+        np.take(self.place_bias, t.bucket[a:b] >> 5, axis=0, out=more, mode="clip")
+        y += more
         for x in (z, y):
             x -= x.max(1, keepdims=True)
-            x -= np.log(np.exp(x).sum(1, keepdims=True))
         return z, y
 
     def log_prob(self, t: Tokens) -> np.ndarray:
@@ -115,9 +119,11 @@ class Model:
         out = np.empty(len(t.bucket), dtype=np.float32)
         for a in range(0, len(out), STEP):
             b = min(a + STEP, len(out))
-            z, y = self.scores(t, a, b)
+            z, y = self.logits(t, a, b)
             i = np.arange(b - a)
             out[a:b] = z[i, t.bucket[a:b] >> 5] + y[i, t.bucket[a:b] & 31]
+            for x in (z, y):
+                out[a:b] -= np.log(np.exp(x, out=x).sum(1))
         return out
 
     def _add(self, table: int, weights: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
@@ -126,8 +132,9 @@ class Model:
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         total = np.add.reduceat(g[order], starts)
         u = s[starts]
-        self.seen[table, u] += (total * total).mean(1)
-        weights[u] += RATE * total / np.sqrt(self.seen[table, u] + 1e-3)[:, None]
+        self.seen[table, u] += np.einsum("ij,ij->i", total, total) / CLASSES
+        total *= (RATE / np.sqrt(self.seen[table, u] + 1e-3))[:, None]
+        weights[u] += total
 
     def learn(self, t: Tokens) -> None:
         """One pass of AdaGrad steps over the tokens."""
@@ -138,14 +145,16 @@ class Model:
             self.empty = False
         for a in range(0, len(t.bucket), STEP):
             b = min(a + STEP, len(t.bucket))
-            z, y = self.scores(t, a, b)
+            g, d = self.logits(t, a, b)
             i = np.arange(b - a)
             cls, place = t.bucket[a:b] >> 5, t.bucket[a:b] & 31
-            g = -np.exp(z)
-            g[i, cls] += 1
-            d = -np.exp(y)
-            d[i, place] += 1
-            self._add(0, self.bias, np.zeros(b - a, np.int64), g)
+            for x, true in ((g, cls), (d, place)):  # from logits to minus probabilities, plus one for the true one
+                np.exp(x, out=x)
+                x *= -1 / x.sum(1, keepdims=True)
+                x[i, true] += 1
+            total = g.sum(0)
+            self.seen[0, 0] += (total * total).mean()
+            self.bias += RATE * total / np.sqrt(self.seen[0, 0] + 1e-3)
             self._add(1, self.place_bias, cls, d)
             for k in range(len(t.rows)):
                 self._add(2, self.by_class, t.rows[k, a:b], g)
@@ -210,9 +219,8 @@ def score(docs: DataFrame, weights: np.ndarray | None, counts: np.ndarray) -> Da
     chunks = X.chunked(docs, n_chunks)
     shared = spark.sparkContext.broadcast((weights, np.log10(counts + UNSEEN)))
 
-    def pieces(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
-        for i, j in slices(texts):
-            yield i, j, Tokens(texts.slice(i, j - i))
+    def pieces(texts: pa.Array, context: bool) -> list[tuple[int, int, Tokens]]:
+        return [(i, j, Tokens(texts.slice(i, j - i), context)) for i, j in slices(texts)]
 
     def by_part(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Order of sorted keys by part, and (part, from, to)."""
@@ -226,13 +234,16 @@ def score(docs: DataFrame, weights: np.ndarray | None, counts: np.ndarray) -> Da
         chunk, _, _, texts = X.ordered(table)
         train_rows = np.sort(table["doc_id"].fill_null(X.LAST).to_numpy())  # same order as ``ordered``
         flags = _fold(train_rows)
-        keys, weight = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for i, j, t in pieces(texts):
-            k, inverse = np.unique(t.key, return_inverse=True)
-            keys.append(k)
-            weight.append(np.bincount(inverse, weights=np.repeat(flags[i:j], t.counts), minlength=len(k)).astype(np.int64))
-        k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(inverse, weights=np.concatenate(weight), minlength=len(k)).astype(np.int64)
+        seen, other = [np.zeros(0, U64)], [np.zeros(0, U64)]
+        for i, j, t in pieces(texts, False):
+            mask = np.repeat(flags[i:j], t.counts)
+            seen.append(t.key[mask])
+            other.append(t.key[~mask])
+        k, c = np.unique(np.concatenate(seen), return_counts=True)
+        rest = np.setdiff1d(np.concatenate(other), k)
+        k, c = np.concatenate([k, rest]), np.concatenate([c, np.zeros(len(rest), np.int64)])
+        order = np.argsort(k)
+        k, c = k[order], c[order].astype(np.int64)
         order, spans = by_part(k)
         k, c = k[order], c[order]
         return pa.table({
@@ -263,7 +274,8 @@ def score(docs: DataFrame, weights: np.ndarray | None, counts: np.ndarray) -> Da
             return pa.table({n: pa.array([], t) for n, t in zip(("doc_id", "n_tokens", "n_known", "log_counts", "score"), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
         _, ids, _, texts = X.ordered(table)
         model, log_bucket = Model(shared.value[0]), shared.value[1]
-        keys = np.unique(np.concatenate([np.unique(t.key) for _, _, t in pieces(texts)]))
+        all_pieces = pieces(texts, True)
+        keys = np.unique(np.concatenate([t.key for _, _, t in all_pieces]))
         order, spans = by_part(keys)
         size = {p: (a, b) for p, a, b in spans}
         c = np.zeros(len(keys), dtype=np.int64)
@@ -273,7 +285,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, counts: np.ndarray) -> Da
         log_base = np.log10(c + 0.1)
         log_own = np.log10(np.where(c > 0, c, UNSEEN))
         out = [[], [], [], []]
-        for i, j, t in pieces(texts):
+        for i, j, t in all_pieces:
             at = np.searchsorted(keys, t.key)
             model_log = model.log_prob(t).astype(np.float64) / np.log(10) + log_own[at] - log_bucket[t.bucket]
             for column, x in zip(out, (t.counts, np.add.reduceat((c[at] > 0).astype(np.int64), t.first[:-1]), np.add.reduceat(log_base[at], t.first[:-1]), np.add.reduceat(model_log, t.first[:-1]))):
