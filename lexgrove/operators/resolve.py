@@ -81,18 +81,23 @@ def resolve(references: DataFrame, units: DataFrame) -> DataFrame:
     paragraph = F.coalesce("__to_ab", "__to_line")
     lost_line = c("paragraph_ordinal").isNotNull() & paragraph.isNull()
     deepest = F.when(c("subpoint").isNotNull(), "subpoint").when(c("point").isNotNull(), "point").otherwise(c("__base_kind"))
+    none = F.lit(None).cast("string")
+
+    def told(to: Column, status: str, depth: Column, note: Column = none) -> Column:
+        return F.struct(to.alias("to"), F.lit(status).alias("status"), depth.alias("depth"), note.alias("note"))
+
     outcome = (
-        F.when(c("kind").startswith("external"), F.struct(F.lit(None).cast("string").alias("to"), F.lit("external").alias("status"), F.lit(None).cast("string").alias("depth"), F.lit(None).cast("string").alias("note")))
-        .when(container & to_container.isNotNull(), F.struct(to_container, F.lit("resolved"), F.when(c("chapter").isNotNull(), "chapter").otherwise("section"), F.lit(None).cast("string")))
-        .when(container, F.struct(F.lit(None).cast("string"), F.lit("unresolved"), F.lit(None).cast("string"), F.lit("container not found")))
-        .when(c("__base").isNull(), F.struct(F.lit(None).cast("string"), F.lit("unresolved"), F.lit(None).cast("string"), F.when(c("article").isNotNull(), "article not found").otherwise("no such ancestor")))
-        .when(lost_point, F.struct(c("__base"), F.lit("partial"), c("__base_kind"), F.lit("point not found")))
-        .when(no_point, F.struct(c("__base"), F.lit("partial"), c("__base_kind"), F.lit("subpoint without point")))
-        .when(lost_sub, F.struct(F.coalesce("__to_point", "__base"), F.lit("partial"), F.when(c("point").isNotNull(), "point").otherwise(c("__base_kind")), F.lit("subpoint not found")))
-        .when(lost_line, F.struct(c("__host"), F.lit("partial"), deepest, F.lit("paragraph not found")))
-        .when(c("paragraph_ordinal").isNotNull(), F.struct(paragraph, F.lit("resolved"), F.lit("paragraph"), F.lit(None).cast("string")))
-        .otherwise(F.struct(c("__host"), F.lit("resolved"), deepest, F.lit(None).cast("string")))
-    )
+        F.when(c("kind").startswith("external"), told(none, "external", none))
+        .when(container & to_container.isNotNull(), told(to_container, "resolved", F.when(c("chapter").isNotNull(), "chapter").otherwise("section")))
+        .when(container, told(none, "unresolved", none, F.lit("container not found")))
+        .when(c("__base").isNull(), told(none, "unresolved", none, F.when(c("article").isNotNull(), "article not found").otherwise("no such ancestor")))
+        .when(lost_point, told(c("__base"), "partial", c("__base_kind"), F.lit("point not found")))
+        .when(no_point, told(c("__base"), "partial", c("__base_kind"), F.lit("subpoint without point")))
+        .when(lost_sub, told(F.coalesce("__to_point", "__base"), "partial", F.when(c("point").isNotNull(), "point").otherwise(c("__base_kind")), F.lit("subpoint not found")))
+        .when(lost_line, told(c("__host"), "partial", deepest, F.lit("paragraph not found")))
+        .when(c("paragraph_ordinal").isNotNull(), told(paragraph, "resolved", F.lit("paragraph")))
+        .otherwise(told(c("__host"), "resolved", deepest))
+    )
     return rows.withColumn("__o", outcome).select(*[F.col(x) for x in references.columns], F.col("__o.to").alias("to_unit_id"), F.col("__o.status").alias("status"), F.col("__o.depth").alias("depth"), F.col("__o.note").alias("note"))
 
 
