@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -43,10 +43,10 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = 0x9E3779B97F4A7C15 | 1) -> tuple[np.ndarray, np.ndarray]:
-    """(base**i, base**-i) modulo 2**64 for i < n at least; kept and grown by doubling."""
+    """(base**i, base**-i) modulo 2**64 for i < n at least; kept, and grown where a longer text asks for it."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(BATCH_BYTES * 2, 1 << max(1, n - 1).bit_length())
+        size = -(-n // 65_536) * 65_536
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, dtype=U64)
