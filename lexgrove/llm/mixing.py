@@ -22,12 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.llm.cluster import cut
+
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 BLOCK = 64
 SHARD_WORDS = 131_072
 SEED = 20_240_607
+#: Sources that may be sent to every executor: rows of under 100 bytes.
+MAX_BROADCAST = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,14 +74,16 @@ def targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: fl
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target, shard, taken for each row of docs(doc_id, text, source)."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    # The sizes cross one small exchange; every later use reads it again instead of the texts.
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")).repartition("doc_id")
+    # written once: every later use reads these few bytes a row instead of the texts
+    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     # a null source becomes a value of its own, so that plain equality joins it
     named = sources.withColumn("_s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
     wanted = named.withColumn("_seats", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"))
     wanted = wanted.join(sainte_lague(wanted.withColumn("_one", F.lit(1)), ["_one"], "_s", "target", "_seats").select("_s", "won"), "_s", "left")
-    wanted = wanted.select("_s", "source_size", "target", F.coalesce("won", F.lit(0)).alias("_seats"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("_shards"))
+    wanted = cut(wanted.select("_s", "source_size", "target", F.coalesce("won", F.lit(0)).alias("_seats"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("_shards")))
+    if wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # else an ordinary join, whose hot sources Spark splits
+        wanted = F.broadcast(wanted)
 
     text_id = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     dealt = (
