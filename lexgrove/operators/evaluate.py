@@ -102,3 +102,15 @@ def audit(verified: DataFrame, cited: DataFrame, documents: DataFrame, amendment
 
 def audit_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def golden_run(results: DataFrame) -> DataFrame:
+    """kind, n, ok, share of results(kind, expected, got): searches hit when an expected unit is among those got,
+    resolutions and as-of reads when the one got is expected, absent ones when nothing came."""
+    hit = F.when(F.col("kind") == "as_of_absent", F.size("got") == 0).otherwise(F.size(F.array_intersect("expected", "got")) > 0)
+    return results.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("ok")).withColumn("share", F.col("ok") / F.col("n"))
+
+
+def render_counts(counts: DataFrame) -> DataFrame:
+    """One Markdown row per (doc_id, status, n)."""
+    return counts.select(F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), "status", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line"))

@@ -73,3 +73,29 @@ def position_map(positions: DataFrame, documents: DataFrame, changes: DataFrame,
     counts = [F.count_if(F.col("stance") == s).alias(s) for s in STANCES]
     out = rows.groupBy("unit_id").agg(*counts, lead.alias("leading"), F.count_if("older").alias("older"), F.max("last_change").alias("last_change"))
     return out.withColumn("conflict", (F.col("for_taxpayer") > 0) & (F.col("for_authority") > 0))
+
+
+def extract_positions(edges: DataFrame, documents: DataFrame, done: DataFrame, extractor, budget: int | None = None) -> DataFrame:
+    """Candidate positions of edges(doc_id, unit_id) that have none yet, refusals included (stance none).
+
+    ``extractor`` maps (document text, unit_id) to a dict with stance, summary, quote and confidence, or None; it
+    runs in Arrow batches where the rows are. A budget takes the first pairs by key. A quote that does not stand in
+    the document makes the position a refusal, so it is not asked for again.
+    """
+    import pyarrow as pa
+
+    todo = edges.select("doc_id", "unit_id").distinct().join(done.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_anti")
+    if budget is not None:
+        todo = todo.orderBy("doc_id", "unit_id").limit(budget)
+    rows = todo.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "unit_id", "text")
+    fields = "doc_id string, unit_id string, text string, stance string, summary string, quote string, confidence double"
+
+    def run(batches):
+        for b in batches:
+            found = [extractor(t or "", u) or {} for u, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            columns = [pa.array([f.get(k) for f in found], pa.float64() if k == "confidence" else pa.string()) for k in ("stance", "summary", "quote", "confidence")]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=["doc_id", "unit_id", "text", "stance", "summary", "quote", "confidence"])
+
+    got = rows.mapInArrow(run, fields)
+    good = F.col("stance").isin(*STANCES) & holds_quote("text", "quote")
+    return got.select("doc_id", "unit_id", F.when(good, F.col("stance")).otherwise("none").alias("stance"), "summary", "quote", "confidence", F.coalesce(good, F.lit(False)).alias("accepted"))

@@ -220,7 +220,7 @@ def letter_listing(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 def court_act(blocks: DataFrame, key: str) -> DataFrame:
     """key, text: blocks after the one that says 'постановляет' up to the signature; acts of three blocks or fewer are left out."""
     first = F.min(F.when(F.lower("block").rlike(r"постановля\p{L}+\s*:?\s*$|дать следующие разъяснения"), F.col("n"))).over(W.partitionBy(key))
-    last = F.min(F.when(F.col("block").rlike(r"(?i)^(председатель|секретарь пленума|судья)"), F.col("n"))).over(W.partitionBy(key))
+    last = F.min(F.when(F.col("block").rlike(r"(?iu)^(председатель|секретарь пленума|судья)"), F.col("n"))).over(W.partitionBy(key))
     body = blocks.withColumn("__f", first).withColumn("__l", last).where((F.col("n") > F.col("__f")) & (F.col("__l").isNull() | (F.col("n") < F.col("__l")) | (F.col("__l") < F.col("__f"))))
     text = body.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "block"))).alias("l")).where("size(l) > 3")
     return text.select(key, F.array_join(F.transform("l", lambda x: x["block"]), "\n\n").alias("text"))
@@ -240,3 +240,22 @@ def save_vectors(vectors: DataFrame, known_units: DataFrame, path: str, model: s
 def graph_json(weights: DataFrame) -> DataFrame:
     """One JSON object per edge."""
     return weights.select(F.to_json(F.struct("src", "dst", "weight")).alias("value"))
+
+
+def letter_page(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, text, question, tags, category of stored letter pages: the question is what stands before the answer's
+    heading, tags are links to a tag list, the category is the last crumb."""
+    text = html_text(F.regexp_replace(html, r"(?is)<(?:nav|header|footer)\b.*?</(?:nav|header|footer)>", ""))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*href=[^>]*tag[^>]*>\s*([^<]+?)\s*</a>"), F.lit(1))
+    crumbs = F.regexp_extract_all(html, F.lit(r"(?is)class=[\"'][^\"']*crumb[^\"']*[\"'][^>]*>\s*(?:<a[^>]*>)?\s*([^<]+?)\s*<"), F.lit(1))
+    return pages.select(key, text.alias("text"), F.trim(F.regexp_extract(text, r"(?su)^(.*?)\n(?:Ответ|ОТВЕТ)\b", 1)).alias("question"), F.array_distinct(tags).alias("tags"), F.when(F.size(crumbs) > 0, F.element_at(crumbs, -1)).alias("category"))
+
+
+def ministry_page(pages: DataFrame, key: str, html: str = "html", attachment: str | None = None, least: int = 200) -> DataFrame:
+    """key, number, date, title, text of stored ministry pages, in either title layout ("от DATE № N" or "№ N от DATE");
+    the text comes from the page, else from the attached word file's text; shorter than ``least`` gives no row."""
+    title = html_text(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    own = html_text(F.regexp_extract(html, r"(?is)<article[^>]*>(.*)</article>", 1))
+    text = own if attachment is None else F.when(F.length(own) >= least, own).otherwise(F.coalesce(attachment, own))
+    rows = pages.select(key, F.regexp_extract(title, r"(?:№|N)\s*([\p{L}\d@/.-]*[\p{L}\d@])", 1).alias("number"), fact_date(title).alias("date"), title.alias("title"), text.alias("text"))
+    return rows.where((F.col("number") != "") & F.col("date").isNotNull() & (F.length("text") >= least))
