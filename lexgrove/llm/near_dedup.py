@@ -169,29 +169,6 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return max(plain, least / (float(x[1].sum() + y[1].sum()) - least))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs(a, b) whose documents' similarity is threshold or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_bag = None, None
-
-        def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-            _, h, tf, _ = shingles(pa.array([text], pa.large_string()))
-            return h, tf * idf.value[counter(h)].astype(np.float64)
-
-        for b in batches:
-            keep = []
-            for hub_id, t, u in zip(b.column("b").to_pylist(), b.column("text_a"), b.column("text_b")):
-                if hub_id != hub:
-                    hub, hub_bag = hub_id, bag(u.as_py())
-                keep.append(similarity(bag(t.as_py()), hub_bag) >= threshold)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
 def block_links(few: list, others: list, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links between two lists of (doc_id, label, text), one for each few and other label at most.
 
@@ -253,6 +230,20 @@ def rest_of(groups: DataFrame, labels: DataFrame, texts: DataFrame, idf, thresho
     )
     left = rows.where("is_few").select("hub", "doc_id", "label", F.lit(0).alias("side"), F.col("_fb").alias("fb"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("ob"))
     right = rows.select("hub", "doc_id", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("fb"), F.col("_ob").alias("ob"))
+    return compared(left.unionByName(right), texts, idf, threshold)
+
+
+def hub_links(groups: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links (hub, member) of groups(hub, doc_id), in blocks of members."""
+    sizes = cut(groups.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("_blocks")))
+    left = sizes.select("hub", F.col("hub").alias("doc_id"), F.col("hub").alias("label"), F.lit(0).alias("side"), F.lit(0).alias("fb"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("ob"))
+    members = groups.where("doc_id <> hub").join(sizes, "hub")
+    right = members.select("hub", "doc_id", F.col("doc_id").alias("label"), F.lit(1).alias("side"), F.lit(0).alias("fb"), F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int").alias("ob"))
+    return compared(left.unionByName(right), texts, idf, threshold)
+
+
+def compared(rows: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between the two sides of every block of rows(hub, fb, ob, side, doc_id, label)."""
 
     def run(table: pa.Table) -> pa.Table:
         sides: tuple[list, list] = ([], [])
@@ -261,7 +252,7 @@ def rest_of(groups: DataFrame, labels: DataFrame, texts: DataFrame, idf, thresho
         found = block_links(sorted(sides[0]), sorted(sides[1]), idf.value, threshold) if sides[0] and sides[1] else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return left.unionByName(right).join(texts, "doc_id").groupBy("hub", "fb", "ob").applyInArrow(run, "a long, b long")
+    return rows.join(texts, "doc_id").groupBy("hub", "fb", "ob").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -283,7 +274,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     company = cut(posted.groupBy("doc_id").agg(F.sum("_size").alias("_company")))
     hubs = cut(posted.join(company, "doc_id").groupBy("band", "value").agg(F.max(F.struct("_company", (-F.col("doc_id")).alias("_neg"))).alias("_hub")).select("band", "value", (-F.col("_hub._neg")).alias("hub")))
     groups = cut(posted.join(hubs, ["band", "value"]).select("hub", "doc_id").distinct())
-    links = cut(verified(groups.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), texts, idf, threshold))
+    links = cut(hub_links(groups, texts, idf, threshold))
     labels = cut(components(links))
     links = cut(links.unionByName(rest_of(groups, labels, texts, idf, threshold)))
     labels = cut(components(links))
