@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.llm.cluster import cut
 from lexgrove.llm.tokens import lengths
 
 BLOCK = 1024
@@ -25,7 +26,7 @@ BLOCK = 1024
 
 def histogram(lengths_: DataFrame) -> DataFrame:
     """context_limit, n_docs, and cumulative figures, one row per distinct length of lengths_(n_tokens)."""
-    h = lengths_.groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs"))
+    h = cut(lengths_.groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs")))  # texts are encoded once
     h = h.withColumn("_block", F.floor(F.col("context_limit") / BLOCK)).withColumn("_tokens", F.col("n_docs") * F.col("context_limit"))
     totals = h.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     every = W.orderBy("_block")
