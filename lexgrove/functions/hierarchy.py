@@ -31,20 +31,24 @@ def article_of(unit: str | Column) -> Column:
     return F.when(found != "", found).otherwise(c)
 
 
-def related_join(left: DataFrame, right: DataFrame, left_unit: str, right_unit: str) -> DataFrame:
-    """left x right where the units are equal or one is above the other, or both lie in one article.
+def related_join(left: DataFrame, right: DataFrame, left_unit: str, right_unit: str, on: list[tuple[str, str]] = ()) -> DataFrame:
+    """left x right where the units are equal or one is above the other, or both lie in one article, and the
+    columns of ``on`` (left name, right name) agree.
 
     Each side lists its ancestors; pairs then meet by equality on them. The pair is found when one unit is
     an ancestor of the other, which is an equality of the shorter one with a listed ancestor.
     """
-    a = left.withColumn("__id", F.monotonically_increasing_id())
-    up = a.withColumn("__key", F.explode(ancestors(left_unit))).join(right.withColumn("__key", F.col(right_unit)), "__key").drop("__key")
-    down = a.withColumn("__key", F.col(left_unit)).join(right.withColumn("__key", F.explode(ancestors(right_unit))), "__key").where(F.col(left_unit) != F.col(right_unit)).drop("__key")
-    same = (
-        a.withColumn("__key", article_of(left_unit)).join(right.withColumn("__key", article_of(right_unit)), "__key")
-        .where(~related(F.col(left_unit), F.col(right_unit)) & F.col("__key").contains(".art")).drop("__key")
-    )
-    return up.unionByName(down).unionByName(same).drop("__id")
+
+    def meet(a: Column, b: Column) -> DataFrame:
+        same = F.col("__left_key") == F.col("__right_key")
+        for x, y in on:
+            same = same & (F.col(x) == F.col(y))
+        return left.withColumn("__left_key", a).join(right.withColumn("__right_key", b), same)
+
+    up = meet(F.explode(ancestors(left_unit)), F.col(right_unit))
+    down = meet(F.col(left_unit), F.explode(ancestors(right_unit))).where(F.col(left_unit) != F.col(right_unit))
+    article = meet(article_of(left_unit), article_of(right_unit)).where(~related(F.col(left_unit), F.col(right_unit)) & F.col("__left_key").contains(".art"))
+    return up.unionByName(down).unionByName(article).drop("__left_key", "__right_key")
 
 
 def number_key(number: str | Column) -> Column:

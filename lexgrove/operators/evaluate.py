@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.functions.hierarchy import article_of, related_join
+from lexgrove.functions.hierarchy import article_of, related, related_join
 
 ABSTENTION = r"(?iu)не наш[её]л|не найден|отсутству|не могу ответить|нет ответа|недостаточно данных"
 
@@ -25,9 +25,8 @@ def score_answers(questions: DataFrame, citations: DataFrame, answers: DataFrame
     asked = answers.join(questions, "id").select("id", "rep", "topic", "text", "abstain", F.array_distinct("expected").alias("expected"))
     wanted = asked.select("id", "rep", F.explode("expected").alias("want"))
     found = citations.where("unit_id is not null").select("id", "rep", "unit_id").distinct()
-    w = wanted.withColumn("__l", F.concat_ws("\x01", F.col("id").cast("string"), F.col("rep").cast("string")))
-    c = found.withColumn("__r", F.concat_ws("\x01", F.col("id").cast("string"), F.col("rep").cast("string"))).withColumnRenamed("id", "__cid").withColumnRenamed("rep", "__crep")
-    pairs = related_join(w, c, "want", "unit_id").where("__l = __r")
+    cited_units = found.withColumnRenamed("id", "__cid").withColumnRenamed("rep", "__crep")
+    pairs = related_join(wanted, cited_units, "want", "unit_id", [("id", "__cid"), ("rep", "__crep")]).where(related(F.col("want"), F.col("unit_id")))
     hits = pairs.groupBy("id", "rep").agg(F.count_distinct("want").alias("__recalled"), F.count_distinct("unit_id").alias("__right"))
     arts = lambda d, u: d.groupBy("id", "rep").agg(F.collect_set(article_of(u)).alias(f"__{u}_arts"))  # noqa: E731  an answer's citations: a handful
     cited = citations.groupBy("id", "rep").agg(
@@ -66,10 +65,11 @@ def spread(scores: DataFrame, metric: str = "precision_unit") -> DataFrame:
 
 def search_accuracy(results: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
     """variant, topic, n, unit_at_k, article_at_k: questions with an expected unit (its subtree) or article among the first k."""
-    top = results.where(F.col("rank") <= k).select("variant", F.col("id").alias("__id"), "unit_id")
+    top = results.where(F.col("rank") <= k).select("variant", F.col("id").alias("__hit_id"), "unit_id")
     want = golden.select("id", "topic", F.explode("expected").alias("want"))
     variants = results.select("variant").distinct()
-    hit = related_join(want, top, "want", "unit_id").where("id = __id").select("variant", "id", (article_of("want") == article_of("unit_id")).alias("__a"), F.lit(1).alias("__u"))
+    near = related_join(want, top, "want", "unit_id", [("id", "__hit_id")])
+    hit = near.select("variant", "id", (article_of("want") == article_of("unit_id")).alias("__a"), related(F.col("want"), F.col("unit_id")).cast("int").alias("__u"))
     exact = hit.groupBy("variant", "id").agg(F.max("__u").alias("unit_at_k"), F.max(F.col("__a").cast("int")).alias("article_at_k"))
     rows = golden.select("id", "topic").crossJoin(F.broadcast(variants)).join(exact, ["variant", "id"], "left")  # variants: a handful
     return rows.groupBy("variant", "topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("unit_at_k", F.lit(0))).alias("unit_at_k"), F.sum(F.coalesce("article_at_k", F.lit(0))).alias("article_at_k"))
