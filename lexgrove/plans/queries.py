@@ -228,13 +228,12 @@ def subtree_rollup(spark, sf):
     return H.subtree_totals(leaves, "unit_id", "v").select("node", F.col("total").cast("double").alias("total"), "n")
 
 
-@query(f"""WITH {PATHS}, a AS (SELECT unit_id FROM paths WHERE c_custkey % 10 = 0 UNION ALL SELECT DISTINCT 'x.ch' || n_regionkey || '.art' || n_nationkey FROM paths WHERE n_nationkey % 4 = 0),
-b AS (SELECT unit_id AS other, c_custkey FROM paths WHERE c_custkey % 25 = 0)
-SELECT a.unit_id, other FROM a JOIN b ON a.unit_id = other OR starts_with(a.unit_id, other || '.') OR starts_with(other, a.unit_id || '.') OR regexp_extract(a.unit_id, '^(.*?\\.art[^.]+)', 1) = regexp_extract(other, '^(.*?\\.art[^.]+)', 1)""")
+@query(f"""WITH {PATHS}, a AS (SELECT DISTINCT 'x.ch' || n_regionkey || '.art' || n_nationkey AS unit_id FROM paths UNION ALL SELECT DISTINCT 'x.ch' || n_regionkey FROM paths)
+SELECT a.unit_id, p.unit_id AS other FROM a JOIN paths p ON starts_with(p.unit_id, a.unit_id || '.')""")
 def hierarchical_join(spark, sf):
     p = paths(spark, sf)
-    left = p.where("c_custkey % 10 = 0").select("unit_id").unionByName(p.where("n_nationkey % 4 = 0").select(H.article_of("unit_id").alias("unit_id")).distinct())
-    return H.related_join(left, p.where("c_custkey % 25 = 0").select(F.col("unit_id").alias("other")), "unit_id", "other")
+    above = p.select(H.article_of("unit_id").alias("unit_id")).unionByName(p.select(F.concat(F.lit("x.ch"), "n_regionkey").alias("unit_id"))).distinct()
+    return H.related_join(above, p.select(F.col("unit_id").alias("other")), "unit_id", "other")
 
 
 @query("""WITH w AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey % 200 AS dst, count(*) AS weight FROM lineitem GROUP BY ALL),
@@ -530,13 +529,14 @@ def stream_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
-    rows = table(spark, sf, "customer").where("c_custkey < 40")
-    return rows.select((c % 13).alias("workspace_id"), F.concat(F.lit("x.ch"), c % 5, F.when(c % 3 > 0, F.concat(F.lit(".art"), c % 23)).otherwise(""), F.when(c % 3 == 2, F.concat(F.lit(".p"), c % 11)).otherwise("")).alias("unit_id"), F.lit(None).cast("string").alias("doc_id"))
+    rows = table(spark, sf, "customer")
+    return rows.select((c % 13).alias("workspace_id"), F.concat(F.lit("x.ch"), c % 5, F.when(c % 3 > 0, F.concat(F.lit(".art"), c % 23)).otherwise(""), F.when(c % 3 == 2, F.concat(F.lit(".p"), c % 11)).otherwise("")).alias("unit_id"), F.lit(None).cast("string").alias("doc_id")).distinct()
 
 
 MATCH = r"""e AS (SELECT event_id, 'x.ch' || user_id % 5 || '.art' || user_id % 23 || CASE WHEN event_id % 2 = 0 THEN '.p' || event_id % 11 ELSE '' END AS a FROM events WHERE event_type <> 'error'),
-s AS (SELECT DISTINCT c_custkey % 13 AS workspace_id, 'x.ch' || c_custkey % 5 || CASE WHEN c_custkey % 3 > 0 THEN '.art' || c_custkey % 23 ELSE '' END || CASE WHEN c_custkey % 3 = 2 THEN '.p' || c_custkey % 11 ELSE '' END AS b FROM customer WHERE c_custkey < 40),
-m AS (SELECT workspace_id, event_id, string_agg(DISTINCT b, ',' ORDER BY b) AS matched_by FROM e JOIN s ON a = b OR starts_with(a, b || '.') OR starts_with(b, a || '.') OR (contains(b, '.art') AND regexp_extract(a, '^(.*?\.art[^.]+)', 1) = regexp_extract(b, '^(.*?\.art[^.]+)', 1)) GROUP BY ALL)"""
+s AS (SELECT DISTINCT c_custkey % 13 AS workspace_id, 'x.ch' || c_custkey % 5 || CASE WHEN c_custkey % 3 > 0 THEN '.art' || c_custkey % 23 ELSE '' END || CASE WHEN c_custkey % 3 = 2 THEN '.p' || c_custkey % 11 ELSE '' END AS b FROM customer), u AS (SELECT DISTINCT a FROM e),
+p AS (SELECT a, workspace_id, b FROM u JOIN s ON a = b OR starts_with(a, b || '.') OR starts_with(b, a || '.') OR (contains(b, '.art') AND regexp_extract(a, '^(.*?\.art[^.]+)', 1) = regexp_extract(b, '^(.*?\.art[^.]+)', 1))),
+m AS (SELECT workspace_id, event_id, string_agg(DISTINCT b, ',' ORDER BY b) AS matched_by FROM e JOIN p USING (a) GROUP BY ALL)"""
 
 
 @query(f"WITH {MATCH} SELECT * FROM m")
