@@ -7,6 +7,8 @@ A line (split at \\n, with at least one word) fails when
   * boilerplate: it equals an earlier line of the document, or at least ``stutter_share`` of its words
     repeat the word before them, or it holds a stock phrase (``STOCK_PHRASES``).
 A document is kept when its base checks hold and at most ``max_loss`` of its words stood in failing lines.
+Its cleaned text is what ``clean`` passes on: the lines that do not fail, byte for byte, joined by \\n (lines
+without words do not fail). Counts and verdicts are of the text as given.
 
 Defined cases: null and empty texts have no words and fail the base check; repeated rows are judged each
 by itself; very long texts are read whole; an empty table gives an empty result.
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm.textkernel import U64, Words, mix, raw, segment_hash, slices, texts_of, whole_windows, window_hash, BYTE_CODE
@@ -82,8 +85,22 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return flag
 
 
-def judge(column: pa.Array, rules: Rules = RULES) -> dict[str, np.ndarray]:
-    """Counts and verdicts of each text of a string array without nulls."""
+def surviving(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, stop: np.ndarray, of_row: np.ndarray, bad: np.ndarray) -> pa.Array:
+    """The lines of each row that are not bad, joined by newlines."""
+    live = np.flatnonzero(~bad)
+    later = np.zeros(len(live), dtype=bool)
+    later[1:] = of_row[live[1:]] == of_row[live[:-1]]
+    edge = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(edge, begin[live] - later, 1)  # a later line brings the newline before it
+    np.add.at(edge, stop[live], -1)
+    stay = np.cumsum(edge)[:-1] > 0
+    before = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(stay, out=before[1:])
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(before[offsets]), pa.py_buffer(data[stay]))
+
+
+def judge(column: pa.Array, rules: Rules = RULES) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """(counts and verdicts, surviving lines) of each text of a string array without nulls."""
     w = Words(column)
     d, o, rows = w.data, w.offsets, len(w.counts)
     n_words = w.counts
@@ -157,11 +174,11 @@ def judge(column: pa.Array, rules: Rules = RULES) -> dict[str, np.ndarray]:
             i = low.find(p, i + 1)
     lost = np.bincount(of_row, weights=in_line * bad, minlength=rows).astype(np.int64)
     base = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words)
-    return {
+    return ({
         "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
         "n_lines": np.bincount(of_row, weights=has, minlength=rows).astype(np.int64), "n_bad_lines": np.bincount(of_row, weights=bad, minlength=rows).astype(np.int64),
         "n_lost_words": lost, "base_failed": base, "kept": ~base & (100 * lost <= rules.max_loss_percent * n_words),
-    }
+    }, surviving(d, o, begin, stop, of_row, bad))
 
 
 def quality(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -171,22 +188,32 @@ def quality(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
         for b in batches:
             ids, text = b.column("doc_id"), texts_of(b.column("text"))
             for i, j in slices(text):
-                out = judge(text.slice(i, j - i), rules)
+                out, _ = judge(text.slice(i, j - i), rules)
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(i, j - i).cast(pa.int64()), **out})
 
     return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
 
 def clean(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """The rows of docs that pass, all columns, in one pass: the verdict is joined to nothing."""
+    """The rows of docs that pass with their cleaned text, all columns, in one pass: nothing is joined.
+
+    Where lines went, an integer column ``n_chars`` is counted anew.
+    """
     names = docs.columns
+    size = names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType.typeName() in ("integer", "long") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = texts_of(b.column(names.index("text")))
+            at = names.index("text")
+            text = texts_of(b.column(at))
             for i, j in slices(text):
-                kept = judge(text.slice(i, j - i), rules)["kept"]
-                yield b.slice(i, j - i).filter(pa.array(kept))
+                out, lines = judge(text.slice(i, j - i), rules)
+                part, cleaned = b.slice(i, j - i), pa.array(out["n_bad_lines"] > 0)
+                columns = part.columns
+                columns[at] = pc.if_else(cleaned, lines.cast(part.column(at).type), part.column(at))
+                if size is not None:
+                    columns[size] = pc.if_else(cleaned, pc.utf8_length(lines).cast(part.column(size).type), part.column(size))
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(out["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
 
