@@ -1,8 +1,8 @@
 """documents -> training sequences: quality rules, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame;
-all but the last return the columns of documents. Rows without a doc_id cannot be told apart and are kept
-by the two dedup stages; rows that share a doc_id share its fate.
+all but the last return the columns of documents. The two dedup stages decide per row, by a written row key of
+their own: one row of each group stays, also where rows share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm.cluster import cut
-from lexgrove.llm.exact_dedup import exact_dedup
+from lexgrove.llm.exact_dedup import without_copies
 from lexgrove.llm.mixing import mixed_documents
 from lexgrove.llm.near_dedup import without_near_copies
 from lexgrove.llm.packing import packed
@@ -24,8 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    gone = exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

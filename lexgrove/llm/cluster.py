@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,6 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for every row, and that column's name; written, so that every use sees the same."""
+    taken = {c.lower() for c in docs.columns}
+    key = "__row__"
+    while key in taken:
+        key += "_"
+    return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

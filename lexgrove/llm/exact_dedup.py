@@ -9,7 +9,8 @@ and salt, so a third of all rows in one group is not a hot task.
 
 Defined cases: null text counts as empty; empty texts are equal; ties go to the smallest doc_id, a null
 doc_id comes last; rows that repeat a doc_id with an equal text are one identity: all are marked kept if
-that doc_id stays; an empty table gives an empty result; other columns are ignored.
+that doc_id stays; an empty table gives an empty result; other columns are ignored. ``without_copies`` decides
+per row instead: one row of each group stays, also where doc_ids are equal or null.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.cluster import cut
+from lexgrove.llm.cluster import cut, with_row_key
 
 #: Salted groups a repeated digest is merged in before the winners meet.
 SALTS = 16
@@ -35,26 +36,32 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
-def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text)."""
-    base = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256, row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text).
+
+    With ``row``, a written column unique to each row, that column comes too and ``kept`` holds for one row of a group.
+    """
+    own = [] if row is None else [row]
+    base = docs.select("doc_id", *own, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     full = base.select(
         "doc_id",
+        *own,
         F.char_length("_text").alias("_len"),
         normalised(F.col("_text")).alias("_content"),
     ).withColumn("_digest", digest(F.col("_content")))
     sha = F.sha2(F.col("_content"), 256)
-    keyed = cut(full.select("doc_id", "_digest", *([] if digest is sha256 else [sha.alias("_sha")])))
+    keyed = cut(full.select("doc_id", *own, "_digest", *([] if digest is sha256 else [sha.alias("_sha")])))
 
     # written first: a side that is read from a table can be split where the other side is skewed
     repeated = cut(keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest"))
     members = full.join(repeated, "_digest", "left_semi")
-    best = F.max(F.struct(F.col("_len"), (-F.col("doc_id")).alias("_neg"))).alias("_best")
-    salted = members.groupBy("_digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("_salt"), "_content").agg(best, F.count(F.lit(1)).alias("_n"))
+    best = F.max(F.struct(F.col("_len"), (-F.col("doc_id")).alias("_neg"), *[(-F.col(c)).alias("_neg_row") for c in own])).alias("_best")
+    salted = members.groupBy("_digest", F.pmod(F.xxhash64(row or "doc_id"), F.lit(salts)).alias("_salt"), "_content").agg(best, F.count(F.lit(1)).alias("_n"))
     merged = salted.groupBy("_digest", "_content").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
-    groups = merged.select("_digest", "_content", (-F.col("_best._neg")).alias("keep_id"), F.col("_n").alias("group_size"))
+    keep_row = ["_keep_row" for _ in own]
+    groups = merged.select("_digest", "_content", (-F.col("_best._neg")).alias("keep_id"), *[(-F.col("_best._neg_row")).alias(c) for c in keep_row], F.col("_n").alias("group_size"))
 
-    by_digest = cut(groups.groupBy("_digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_contents")))
+    by_digest = cut(groups.groupBy("_digest").agg(F.max("keep_id").alias("keep_id"), *[F.max(c).alias(c) for c in keep_row], F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_contents")))
     plain = keyed.join(by_digest, "_digest", "left").where("_contents is null or _contents = 1")
     shown = F.lower(F.hex("_digest")) if digest is sha256 else F.col("_sha")
     out = plain.select(
@@ -62,12 +69,22 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
         F.when(F.col("_contents").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         shown.alias("text_sha256"),
+        *own,
+        *[F.coalesce(c, row).alias(c) for c in keep_row],
     )
     clash = by_digest.where("_contents > 1").select("_digest")
     if not clash.isEmpty():  # contents that share a digest: their rows find their group by content
         apart = full.join(clash, "_digest", "left_semi").join(groups.join(clash, "_digest", "left_semi"), ["_digest", "_content"])
-        out = out.unionByName(apart.select("doc_id", "keep_id", "group_size", sha.alias("text_sha256")))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        out = out.unionByName(apart.select("doc_id", "keep_id", "group_size", sha.alias("text_sha256"), *own, *keep_row))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) if row is None else F.col(row) == F.col("_keep_row")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *own)
+
+
+def without_copies(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of equal texts, all columns: the longest, then that of the smallest doc_id."""
+    keyed, key = with_row_key(docs)
+    gone = exact_dedup(keyed, row=key, **options).where("not kept").select(key)
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ so idf never takes a link away. Linked documents form a class by connected compo
 
 Defined cases: null and empty texts have no shingles and are classes of their own; repeated rows are copies;
 rows with a null doc_id are left alone (class_id null, kept); very long texts are whole; an empty table
-gives an empty result; other columns are ignored by ``near_duplicates`` and kept by ``without_near_copies``.
+gives an empty result; other columns are ignored by ``near_duplicates`` and kept by ``without_near_copies``, which decides per row: one
+row of each class stays, also where doc_ids are equal or null.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.cluster import cut
+from lexgrove.llm.cluster import cut, with_row_key
 from lexgrove.llm.components import components
 from lexgrove.llm.textkernel import U64, Words, mix, segment_hash, slices, splitmix, texts_of, whole_windows, window_hash
 
@@ -286,10 +287,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class of docs, all columns: that of its smallest doc_id."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return rest
+    """One row of each class of docs, all columns: that of its smallest doc_id (null last)."""
+    keyed, key = with_row_key(docs)
+    near = cut(near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(key), "class_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id"), F.col(key))).alias("_first")
+    stay = near.join(keyed.select(key, "doc_id"), key).groupBy("class_id").agg(first).select(F.col(f"_first.{key}").alias(key))
+    gone = near.select(key).join(stay, key, "left_anti")
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

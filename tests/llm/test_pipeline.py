@@ -43,6 +43,27 @@ def test_stages_take_effect(spark):
     assert max(filled.values()) <= packing.ROOM
 
 
+def test_dedup_decides_per_row(spark):
+    rng = random.Random(9)
+    unique = [" ".join(f"t{rng.randrange(9000)}" for _ in range(80)) for _ in range(6)]
+    near = unique[5].split(" ")
+    near[40] = "edited"
+    rows = [
+        (3, unique[0]), (7, unique[0]), (7, unique[1]),  # a copy and a unique text under one doc_id
+        (8, unique[2]), (8, unique[2]), (8, unique[2]),  # repeated rows
+        (None, unique[3]), (None, unique[3]), (None, unique[4]), (None, unique[0]),
+        (9, unique[5]), (None, " ".join(near)), (3, " ".join(near[:-1])),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], data.SCHEMA).repartition(3).withColumn("__row__", F.lit(1))
+    want = [(3, unique[0]), (7, unique[1]), (8, unique[2]), (None, unique[3]), (None, unique[4])]
+    got = lambda d: collections.Counter((r["doc_id"], r["text"]) for r in d.collect())
+    exact = corpus_pipeline.exact_stage(spark, docs, "")
+    assert exact.columns == docs.columns and got(exact) == collections.Counter(want + rows[-3:])
+    # near dedup alone meets the copies, too
+    for before in (docs, exact):
+        assert got(corpus_pipeline.near_stage(spark, before, "")) == collections.Counter([*want, rows[-1]])
+
+
 def test_run_equals_the_stages(spark, tmp_path):
     table(spark).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
