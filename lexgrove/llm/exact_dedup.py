@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.cluster import cut, with_row_key
+from lexgrove.llm.cluster import cut, ids_are_keys, with_row_key
 
 #: Salted groups a repeated digest is merged in before the winners meet.
 SALTS = 16
@@ -82,9 +82,9 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256, row: str | N
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of equal texts, all columns: the longest, then that of the smallest doc_id."""
-    keyed, key = with_row_key(docs)
-    gone = exact_dedup(keyed, row=key, **options).where("not kept").select(key)
-    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+    keyed, key = (docs, None) if ids_are_keys(docs) else with_row_key(docs)
+    gone = exact_dedup(keyed, row=key, **options).where("not kept").select(key or "doc_id")
+    return keyed.join(gone, key or "doc_id", "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

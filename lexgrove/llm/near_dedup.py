@@ -1,29 +1,32 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the bag of its five-word shingles (one shingle of all its words if it has fewer). A shingle
-weighs tf * idf, idf = 1 + ``IDF_SPREAD`` * (1 - ln(1 + df) / ln(1 + N)), with df from a table of 2**20
-hashed counters over all documents. The spread is small on purpose: in a large group of near copies the
-shared shingles are the frequent ones, and a full idf would push true copies below the threshold.
+A document is the bag of its five-word shingles (one shingle of all its words if it has fewer). A shingle weighs
+tf * idf with idf = 1 + ln(1 / f) / ln(1 / ``RARE``), f its share of the documents, at least ``RARE``: from 1 for what
+stands everywhere to 2 for what at most one document in a thousand holds. So weights depend on shares alone and are
+alike at every size. Shares come from 2**20 hashed counters, less the mean load of a counter; a shingle that
+matters to the factor has a thousandth of the documents and stands well above that load.
 
 ``BANDS`` x ``ROWS`` samples (shingle, level) are drawn per document such that two documents agree on one
 with probability equal to their weighted Jaccard similarity; a band is the hash of ``ROWS`` samples. At 0.8
 a pair misses all 20 bands with probability 2.6e-5. The random numbers of a shingle come from per-sample
 tables indexed by its hash.
 
-Copies (equal word sequences) are one representative. Documents of one band bucket are compared with one
-hub of it, the member with most company. Where the documents of a hub still span several classes, those
-outside the largest are compared with all of the other classes in blocks, by matrix products inside a task:
-no candidate link between classes is left unverified, and no pair is a row. Candidates are verified by exact weighted Jaccard similarity >= 0.8; pairs just below it whose plain shingle sets reach 0.8 count too,
-so idf never takes a link away. Linked documents form a class by connected components.
+Copies (equal word sequences, by 128 bits of BLAKE2b) are one representative. Documents of one band bucket are compared
+with one hub of it, the member with most company; linked documents form classes by connected components of the graph of
+hubs. Where the documents of a hub still span several classes, those outside the largest are compared with all of
+the other classes in blocks, by matrix products inside a task: no candidate link between classes is left
+unverified, and no pair is a row. A link is a weighted Jaccard similarity of 0.8 or more, computed exactly.
 
-Defined cases: null and empty texts have no shingles and are classes of their own; repeated rows are copies;
-rows with a null doc_id are left alone (class_id null, kept); very long texts are whole; an empty table
-gives an empty result; other columns are ignored by ``near_duplicates`` and kept by ``without_near_copies``, which decides per row: one
+Defined cases: null and empty texts have no shingles and are classes of their own; repeated rows are copies; rows of
+several texts that share a doc_id go by that id together; a row with a null doc_id has the class of its copies and is
+not kept, or without any is left alone (class_id null, kept); very long texts are whole; an empty table gives an empty
+result; other columns are ignored by ``near_duplicates`` and kept by ``without_near_copies``, which decides per row: one
 row of each class stays, also where doc_ids are equal or null.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.cluster import cut, with_row_key
+from lexgrove.llm.cluster import cut, ids_are_keys, release, with_row_key
 from lexgrove.llm.components import components
-from lexgrove.llm.textkernel import U64, Words, mix, segment_hash, slices, splitmix, texts_of, whole_windows, window_hash
+from lexgrove.llm.textkernel import U64, Words, mix, raw, segment_hash, slices, splitmix, texts_of, whole_windows, window_hash
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-IDF_SPREAD = 0.1
+#: Share of the documents at which a shingle counts as rare.
+RARE = 1e-3
 COUNTERS = 1 << 20
 SLICE = 1 << 14
-#: Documents of one side of a block comparison, about.
-BLOCK = 256
+#: Documents of one side of a block comparison, about; and of one block of a hub's group.
+BLOCK, STAR_BLOCK = 256, 128
 TABLE_BITS = 14
 
 
@@ -80,18 +84,27 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for i, j in slices(text):
                 total += np.bincount(counter(shingles(text.slice(i, j - i))[1]), minlength=COUNTERS)
         if n:
-            at = range(0, COUNTERS, SLICE)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([*range(len(at)), -1], pa.int32()), "counts": pa.array([*(total[i : i + SLICE].tobytes() for i in at), np.array([n], np.int64).tobytes()], pa.binary())})
+            yield packed([*((i // SLICE, total[i : i + SLICE]) for i in range(0, COUNTERS, SLICE)), (-1, np.array([n]))])
+
+    def packed(slices_: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        at = [np.flatnonzero(x) for _, x in slices_]
+        return pa.RecordBatch.from_pydict({"slice": pa.array([k for k, _ in slices_], pa.int32()), "counts": pa.array([i.astype(np.uint16).tobytes() + x[i].tobytes() for i, (_, x) in zip(at, slices_)], pa.binary())})
+
+    def total_of(blobs: list[bytes]) -> np.ndarray:
+        total = np.zeros(SLICE, np.int64)
+        for x in blobs:
+            n = len(x) // 10
+            total[np.frombuffer(x, np.uint16, n)] += np.frombuffer(x[2 * n :], np.int64)
+        return total
 
     def add(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
+        return pa.Table.from_batches([packed([(table["slice"][0].as_py(), total_of(table["counts"].to_pylist()))])])
 
     # two levels, so that no task adds up the slices of all partitions
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "slice int, counts binary")
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     some = salted.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary")
-    got = {x[0]: np.frombuffer(x[1], np.int64) for x in some.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()}
+    got = {x[0]: total_of([x[1]]) for x in some.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()}
     if -1 not in got:
         return np.zeros(COUNTERS, np.int64), 0
     return np.concatenate([got[i] for i in range(COUNTERS // SLICE)]), int(got[-1][0])
@@ -99,7 +112,8 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
     """Weight factor of each counter."""
-    return (1 + IDF_SPREAD * (1 - np.log1p(np.minimum(df, n)) / np.log1p(max(n, 1)))).astype(np.float32)
+    share = np.maximum(df - df.sum() / COUNTERS, 1) / max(n, 1)
+    return (1 + np.log(1 / np.clip(share, RARE, 1)) / np.log(1 / RARE)).astype(np.float32)
 
 
 def _gamma_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,6 +153,14 @@ def bands(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int) -> tupl
     return have, picked
 
 
+def copy_keys(column: pa.Array) -> list[bytes | None]:
+    """A digest of the word sequence of each text; none without words."""
+    data, o = raw(column)
+    body = data.tobytes()
+    words = (body[a:b].split() for a, b in zip(o[:-1].tolist(), o[1:].tolist()))
+    return [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
+
+
 def signatures(docs: DataFrame, idf) -> DataFrame:
     """doc_id, copy_key (of the word sequence; null without words), bands; idf is a broadcast table."""
     fields = "doc_id long, copy_key binary, bands array<long>"
@@ -147,44 +169,38 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
         for b in batches:
             text = texts_of(b.column("text"))
             for i, j in slices(text):
-                row, h, tf, w = shingles(text.slice(i, j - i))
+                part = text.slice(i, j - i)
+                row, h, tf, _ = shingles(part)
                 have, picked = bands(row, h, tf * idf.value[counter(h)], j - i)
-                one = segment_hash(w.hashes, w.first[:-1], w.first[1:], 0x9E6C63D0876A9A47)
-                two = segment_hash(w.hashes, w.first[:-1], w.first[1:], 0xC2B2AE3D27D4EB4F)
-                keys = [x if c else None for x, c in zip(np.stack([one, two], 1).view("V16").ravel().tolist(), w.counts)] if j > i else []
                 offsets = np.zeros(j - i + 1, np.int32)
                 offsets[have + 1] = BANDS
                 flat = pa.array(picked.T.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), flat)], names=["doc_id", "copy_key", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(copy_keys(part), pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), flat)], names=["doc_id", "copy_key", "bands"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, fields)
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of weighted and plain Jaccard similarity of two (sorted shingles, weights)."""
+    """Weighted Jaccard similarity of two (sorted shingles, weights)."""
     both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
     least = float(np.minimum(x[1][i], y[1][j]).sum())
-    plain = len(both) / (len(x[0]) + len(y[0]) - len(both))
-    return max(plain, least / (float(x[1].sum() + y[1].sum()) - least))
+    return least / (float(x[1].sum() + y[1].sum()) - least)
 
 
-def block_links(few: list, others: list, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links between two lists of (doc_id, label, text), one for each few and other label at most.
+def likeness(few: list[str], others: list[str], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of one list with every one of the other.
 
-    Intersections of a whole block come from one product of incidence matrices: the weight shared by two
+    Intersections of a whole block come from products of incidence matrices: the weight shared by two
     bags is the sum over levels of tf, min(tf) = sum over k of [tf >= k] [tf' >= k].
     """
-    docs = few + others
-    row, h, tf, _ = shingles(pa.array([t for _, _, t in docs], pa.large_string()))
+    n, m = len(few), len(others)
+    row, h, tf, _ = shingles(pa.array([*few, *others], pa.large_string()))
     shown, at = np.unique(h, return_inverse=True)
     weight = idf[counter(shown)].astype(np.float64)
-    sizes = np.bincount(row, minlength=len(docs)).astype(np.float64)
-    totals = np.bincount(row, weights=tf * weight[at], minlength=len(docs))
-    n, shape = len(few), (len(few), len(others))
-    plain, shared = np.zeros(shape), np.zeros(shape)
-    level = 1
+    totals = np.bincount(row, weights=tf * weight[at], minlength=n + m)
+    shared, level = np.zeros((n, m)), 1
     while len(row):
         left, right = row < n, row >= n
         common = np.intersect1d(at[left], at[right])
@@ -193,64 +209,65 @@ def block_links(few: list, others: list, idf: np.ndarray, threshold: float) -> l
         place = np.full(len(shown), -1)
         place[common] = np.arange(len(common))
         for i in range(0, len(common), 4096):
-            x, y = np.zeros((n, min(4096, len(common) - i)), np.float32), np.zeros((len(others), min(4096, len(common) - i)), np.float32)
+            size = min(4096, len(common) - i)
+            x, y = np.zeros((n, size)), np.zeros((m, size))
             inside = (place[at] >= i) & (place[at] < i + 4096)
-            x[row[inside & left], place[at[inside & left]] - i] = 1
+            x[row[inside & left], place[at[inside & left]] - i] = weight[at[inside & left]]
             y[row[inside & right] - n, place[at[inside & right]] - i] = 1
-            if level == 1:
-                plain += x @ y.T
-            shared += (x * weight[common[i : i + 4096]].astype(np.float32)) @ y.T
+            shared += x @ y.T
         level += 1
         more = tf >= level
         row, at, tf = row[more], at[more], tf[more]
     with np.errstate(divide="ignore", invalid="ignore"):
-        likeness = np.maximum(plain / (sizes[:n, None] + sizes[None, n:] - plain), shared / (totals[:n, None] + totals[None, n:] - shared))
-    label = np.array([x[1] for x in others])
-    near = np.nan_to_num(likeness) >= threshold - 1e-6
-    near &= np.array([x[1] for x in few])[:, None] != label[None, :]
-    out = []
-    for i in np.flatnonzero(near.any(1)):
-        js = np.flatnonzero(near[i])
-        out += [(few[i][0], others[j][0]) for j in js[np.unique(label[js], return_index=True)[1]]]
-    return out
+        return np.nan_to_num(shared / (totals[:n, None] + totals[None, n:] - shared))
+
+
+def star(groups: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """hub, doc_id, ok of groups(hub, doc_id, blocks): whether a member is like its hub. The hub goes to every block."""
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = groups.select("hub", "doc_id", F.explode(F.when(F.col("hub") == F.col("doc_id"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))).alias("block"))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist()))
+        hub = table["hub"][0].as_py()
+        ids, near = np.array([i for i, _ in found]), np.zeros(len(found), dtype=bool)
+        own = [t for i, t in found if i == hub]
+        for i in range(0, len(found), STAR_BLOCK):
+            near[i : i + STAR_BLOCK] = (likeness(own, [t for _, t in found[i : i + STAR_BLOCK]], idf.value) >= threshold - 1e-9).any(0)
+        return pa.table({"hub": pa.array([hub] * len(ids), pa.int64()), "doc_id": ids, "ok": near | (ids == hub)})
+
+    return rows.join(texts, "doc_id").groupBy("hub", "block").applyInArrow(run, "hub long, doc_id long, ok boolean")
 
 
-def rest_of(groups: DataFrame, labels: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that comparing with hubs alone would lose.
+def rest_of(state: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame | None:
+    """Links (a, b) between the classes of state(hub, doc_id, root) that comparing with hubs alone would lose.
 
-    In every hub's group that still spans classes, all documents outside the largest class (few) are compared
+    In every hub's group that spans classes, all documents outside the largest class (few) are compared
     with all documents of other classes, block by block: rows sent grow with documents times blocks.
     """
-    state = groups.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    sizes = state.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.groupBy("hub").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_labels")).where("_labels > 1 and _all > 2")
-    top = cut(top.select("hub", F.col("_top.label").alias("_top"), F.greatest(F.lit(1), F.ceil(F.col("_all") / block)).cast("int").alias("_blocks"), F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_top._n")) / block)).cast("int").alias("_few")))
-    rows = state.join(top, "hub").select(
-        "hub", "doc_id", "label", (F.col("label") != F.col("_top")).alias("is_few"), "_blocks", "_few",
-        F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int").alias("_ob"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_few")).cast("int").alias("_fb"),
-    )
-    left = rows.where("is_few").select("hub", "doc_id", "label", F.lit(0).alias("side"), F.col("_fb").alias("fb"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("ob"))
-    right = rows.select("hub", "doc_id", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("fb"), F.col("_ob").alias("ob"))
-    return compared(left.unionByName(right), texts, idf, threshold)
-
-
-def hub_links(groups: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Links (hub, member) of groups(hub, doc_id), in blocks of members."""
-    sizes = cut(groups.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("_blocks")))
-    left = sizes.select("hub", F.col("hub").alias("doc_id"), F.col("hub").alias("label"), F.lit(0).alias("side"), F.lit(0).alias("fb"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("ob"))
-    members = groups.where("doc_id <> hub").join(sizes, "hub")
-    right = members.select("hub", "doc_id", F.col("doc_id").alias("label"), F.lit(1).alias("side"), F.lit(0).alias("fb"), F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int").alias("ob"))
-    return compared(left.unionByName(right), texts, idf, threshold)
-
-
-def compared(rows: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between the two sides of every block of rows(hub, fb, ob, side, doc_id, label)."""
+    sizes = state.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("every"), F.count(F.lit(1)).alias("roots")).where("roots > 1 and every > 2")
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / block)).cast("int")
+    top = cut(top.select("hub", F.col("top.root").alias("top"), blocks(F.col("every")).alias("blocks"), blocks(F.col("every") - F.col("top.n")).alias("few")))
+    if top.isEmpty():
+        return None
+    rows = state.join(top, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("fb", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("few")).cast("int"))
+    # a few document meets every block of all; any document meets every block of few
+    sent = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("fb"), F.col("own").alias("ob")))
+    sent_few = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.lit(0).alias("side"), F.col("fb").alias("fb"), i.alias("ob")))
+    rows = rows.select("hub", "doc_id", "root", F.explode(F.when(F.col("root") != F.col("top"), F.concat(sent, sent_few)).otherwise(sent)).alias("x")).select("hub", "doc_id", "root", "x.*")
 
     def run(table: pa.Table) -> pa.Table:
         sides: tuple[list, list] = ([], [])
-        for doc, label, side, text in zip(*(table[c].to_pylist() for c in ("doc_id", "label", "side", "text"))):
-            sides[side].append((doc, label, text))
-        found = block_links(sorted(sides[0]), sorted(sides[1]), idf.value, threshold) if sides[0] and sides[1] else []
+        for root, side, text in zip(*(table[c].to_pylist() for c in ("root", "side", "text"))):
+            sides[side].append((root, text))
+        links: set[tuple[int, int]] = set()
+        if sides[0] and sides[1]:
+            a, b = (np.array([r for r, _ in x]) for x in sides)
+            near = likeness([t for _, t in sides[0]], [t for _, t in sides[1]], idf.value) >= threshold - 1e-9
+            i, j = np.nonzero(near & (a[:, None] != b[None, :]))
+            links = set(zip(np.maximum(a[i], b[j]).tolist(), np.minimum(a[i], b[j]).tolist()))
+        found = sorted(links)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.join(texts, "doc_id").groupBy("hub", "fb", "ob").applyInArrow(run, "a long, b long")
@@ -259,35 +276,45 @@ def compared(rows: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, copy_id, class_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    df, n = frequencies(rows)
-    idf = spark.sparkContext.broadcast(idf_table(df, n))
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
+    idf = spark.sparkContext.broadcast(idf_table(*frequencies(rows)))
     signed = cut(signatures(rows, idf))
-    copies = cut(signed.where("copy_key is not null").groupBy("copy_key").agg(F.min("doc_id").alias("copy_id")))
-    # representatives: the smallest doc_id of each word sequence
-    members = signed.join(copies, "copy_key").where("doc_id = copy_id").dropDuplicates(["doc_id", "copy_key"])
-    # two texts may share one doc_id: such rows go by the doc_id they share
-    posted = cut(members.select("doc_id", F.posexplode("bands").alias("band", "value")).distinct())
-    shared = cut(posted.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
-    posted = cut(posted.join(shared, ["band", "value"]))
-    texts = cut(rows.join(posted.select("doc_id").distinct(), "doc_id", "left_semi").join(copies.select(F.col("copy_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    # representatives: the smallest doc_id of each word sequence; equal sequences have equal bands
+    copies = cut(signed.where("copy_key is not null and doc_id is not null").groupBy("copy_key").agg(F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands")))
+    posted = copies.select(F.col("copy_id").alias("doc_id"), F.explode("bands").alias("value"))
+    shared = cut(posted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    mates = cut(posted.join(shared, "value").groupBy("doc_id").agg(F.sum("n").alias("company"), F.collect_set("value").alias("values")))
     # the hub of a bucket is its member with most company in all its buckets: in a group of copies, their origin
-    company = cut(posted.groupBy("doc_id").agg(F.sum("_size").alias("_company")))
-    hubs = cut(posted.join(company, "doc_id").groupBy("band", "value").agg(F.max(F.struct("_company", (-F.col("doc_id")).alias("_neg"))).alias("_hub")).select("band", "value", (-F.col("_hub._neg")).alias("hub")))
-    groups = cut(posted.join(hubs, ["band", "value"]).select("hub", "doc_id").distinct())
-    links = cut(hub_links(groups, texts, idf, threshold))
-    labels = cut(components(links))
-    links = cut(links.unionByName(rest_of(groups, labels, texts, idf, threshold)))
-    labels = cut(components(links))
-
-    of_copy = signed.join(copies, "copy_key", "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"))
-    of_copy = of_copy.join(labels.select(F.col("node").alias("copy_id"), "component"), "copy_id", "left")
-    out = of_copy.select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("class_id"))
+    entered = mates.select("doc_id", "company", F.explode("values").alias("value"))
+    hubs = entered.groupBy("value").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("neg"))).alias("hub"))
+    met = entered.select("doc_id", "value").join(hubs, "value")
+    groups = cut(met.groupBy((-F.col("hub.neg")).alias("hub"), "doc_id").agg(F.max(F.ceil(F.col("hub.company") / (BANDS * STAR_BLOCK))).cast("int").alias("blocks")))
+    release(spark)
+
+    checked = cut(star(groups, rows, idf, threshold))
+    good = F.when(F.col("ok"), F.col("hub"))
+    linked = cut(checked.groupBy("doc_id").agg(F.min(good).alias("least"), F.collect_set(good).alias("hubs")))
+    between = components(linked.where("size(hubs) > 1").select(F.col("least").alias("a"), F.explode("hubs").alias("b")))
+    roots = cut(linked.join(between.withColumnRenamed("node", "least"), "least", "left").select("doc_id", F.coalesce("component", "least", "doc_id").alias("root")))
+    release(spark)
+    more = rest_of(checked.select("hub", "doc_id").join(roots, "doc_id"), rows, idf, threshold)
+    if more is not None:
+        roots = roots.join(components(more).withColumnRenamed("node", "root"), "root", "left").select("doc_id", F.coalesce("component", "root").alias("root"))
+        release(spark)
+    roots = cut(roots)
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    classes = cut(roots.join(least, "root").select(F.col("doc_id").alias("copy_id"), "class_id"))
+
+    out = signed.select("doc_id", "copy_key").join(copies.select("copy_key", "copy_id"), "copy_key", "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"))
+    out = out.join(classes, "copy_id", "left").select("doc_id", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One row of each class of docs, all columns: that of its smallest doc_id (null last)."""
+    if ids_are_keys(docs):
+        gone = near_duplicates(docs, **options).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     keyed, key = with_row_key(docs)
     near = cut(near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(key), "class_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id"), F.col(key))).alias("_first")

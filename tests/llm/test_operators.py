@@ -264,12 +264,30 @@ def test_exact_dedup_equals_brute_force(spark, docs, digest):
 # near dedup
 
 
-def brute_near(rows, threshold=0.8):
+def brute_bags(rows):
+    """(shingles, counts) of every text, and the weight factor of each shingle by its share of the documents."""
+    import math
+
     bags = []
     for _, t, *_ in rows:
         w = split(t)
-        bags.append(({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) if w else set())
-    return {(i, j) for i in range(len(rows)) for j in range(i) if bags[i] and bags[j] and len(bags[i] & bags[j]) / len(bags[i] | bags[j]) >= threshold}
+        bags.append(collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []))
+    df = collections.Counter(s for bag in bags for s in bag)
+    load = sum(df.values()) / near_dedup.COUNTERS
+    idf = {s: 1 + math.log(1 / min(1, max(near_dedup.RARE, max(n - load, 1) / len(rows)))) / math.log(1 / near_dedup.RARE) for s, n in df.items()}
+    return bags, idf
+
+
+def brute_near(rows, threshold=0.8):
+    bags, idf = brute_bags(rows)
+    total = [sum(n * idf[s] for s, n in bag.items()) for bag in bags]
+    out = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sum(min(n, bags[j][s]) * idf[s] for s, n in bags[i].items() if s in bags[j])
+            if both and both / (total[i] + total[j] - both) >= threshold:
+                out.add((i, j))
+    return out
 
 
 def test_near_duplicates_equal_brute_force(spark, docs):
@@ -304,7 +322,7 @@ def test_near_duplicates_of_odd_tables(spark, docs):
     assert near_dedup.near_duplicates(data.empty(spark)).count() == 0
 
 
-def test_block_links_equal_pairwise_similarity():
+def test_block_similarity_equals_pairwise():
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
@@ -315,9 +333,53 @@ def test_block_links_equal_pairwise_similarity():
         _, h, tf, _ = near_dedup.shingles(pa.array([t]))
         return h, tf * idf[near_dedup.counter(h)].astype(np.float64)
 
-    few, others = [(i, i, t) for i, t in enumerate(texts[:8])], [(100 + i, 100 + i, t) for i, t in enumerate(texts[8:])]
-    want = {(a, b) for a, _, t in few for b, _, u in others if near_dedup.similarity(bag(t), bag(u)) >= 0.6}
-    assert set(near_dedup.block_links(few, others, idf, 0.6)) == want
+    want = np.array([[near_dedup.similarity(bag(t), bag(u)) for u in texts[8:]] for t in texts[:8]])
+    assert np.allclose(near_dedup.likeness(texts[:8], texts[8:], idf), want, rtol=1e-12)
+    assert near_dedup.likeness(["a b"], ["", "a b", "b a"], idf).tolist() == [[0, 1, 0]]
+
+
+def test_shingles_of_large_shares_weigh_less():
+    n = 2_000_000
+    df = np.full(near_dedup.COUNTERS, 300)
+    df[:3] = n, n // 1000 + 300, n // 30
+    idf = near_dedup.idf_table(df, n)
+    assert 1 <= idf[0] < 1.01 and idf[1] == 2 and 1.4 < idf[2] < 1.6 and (idf[3:] == 2).all()
+
+
+def test_recall_of_pairs_at_and_above_the_threshold(spark):
+    """Every pair of unlike texts stands alone here, so what a class joins is one candidate pair."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):
+        w = [f"t{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append((2 * k, " ".join(w), "en", "s", 0))
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = "edited"
+        rows.append((2 * k + 1, " ".join(w), "en", "s", 0))
+    pairs = brute_near(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    caught = [got[rows[i][0]] == got[rows[j][0]] for i, j in pairs]
+    assert len(caught) > 150 and sum(caught) >= 0.99 * len(caught)
+    assert sum(c != d for d, c in got.items()) == sum(caught)
+
+
+def test_mixed_groups_lose_no_link(spark):
+    """Members of a hub's group that are unlike the hub but like one another."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for c in range(6):  # texts that share two thirds of their words with the others
+        own = base.copy()
+        for at in rng.choice(300, 14, replace=False):
+            own[at] = f"c{c}x{at}"
+        for k in range(8):
+            w = own.copy()
+            w[int(rng.integers(300))] = f"e{c}.{k}"
+            rows.append((100 * c + k, " ".join(w), "en", "s", 0))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    assert got == {100 * c + k: 100 * c for c in range(6) for k in range(8)}
 
 
 def test_consistent_sampling_estimates_similarity():
@@ -333,7 +395,7 @@ def test_consistent_sampling_estimates_similarity():
 
 def test_components(spark):
     rng = np.random.default_rng(1)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1300)] + [(5000 + i, 5000) for i in range(50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {}
 
