@@ -1,7 +1,8 @@
 """Chunks of documents that ask each other about keys.
 
-Documents are dealt once by a hash of doc_id into chunks (one shuffle of the texts, read again by every
-later step). A chunk sends every distinct key once, packed per key range (``part``), so a key that a third
+Documents are dealt once by a hash of doc_id into chunks, one to a task (one shuffle of the texts, read again by every
+later step). Chunks grow with the square root of the table, up to ``MOST_BYTES``, so that chunks and what each of
+them receives grow alike. A chunk sends every distinct key once, packed per key range (``part``), so a key that a third
 of all rows share arrives at most once per chunk. The part's task answers each chunk in the order asked;
 the answer needs no keys. A chunk's rows are sorted, so its keys come out the same however often it runs.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lexgrove.llm.cluster import scan_partitions, shuffle_partitions
 
-#: Bytes of a table's files that a chunk is to hold, about.
-CHUNK_BYTES = 8 << 20
+#: Bytes of a table's files that a chunk is to hold, about: of a table of 1 GiB or less, and at most.
+CHUNK_BYTES, MOST_BYTES = 8 << 20, 128 << 20
 MAX_PARTS = 32_768
 #: Where a null doc_id stands in the order of documents: last.
 LAST = np.iinfo(np.int64).max
@@ -41,14 +42,15 @@ def expand(b: bytes, kind, n: int) -> np.ndarray:
 def chunk_count(docs: DataFrame) -> int:
     spark = docs.sparkSession
     read = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    size = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(read))
-    return max(1, shuffle_partitions(spark), -(-scan_partitions(docs) * size // CHUNK_BYTES))
+    size = scan_partitions(docs) * int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(read))
+    chunk = min(MOST_BYTES, int(CHUNK_BYTES * max(1.0, size / (1 << 30)) ** 0.5))
+    return max(1, shuffle_partitions(spark), -(-size // chunk))
 
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
     """docs(doc_id, text) dealt by doc_id, with the chunk's number."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
+    return rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartitionById(chunks, "_chunk")
 
 
 def ordered(table: pa.Table) -> tuple[int, pa.Array, np.ndarray, pa.Array]:
@@ -66,13 +68,13 @@ def ordered(table: pa.Table) -> tuple[int, pa.Array, np.ndarray, pa.Array]:
     return int(table["_chunk"][0].as_py()), table["doc_id"].combine_chunks().take(take), ids[order], text.take(take)
 
 
-def ask(chunks: DataFrame, request: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """One request row per chunk and part; ``own`` rows are echoed to their chunk."""
-    return chunks.groupBy("_chunk").applyInArrow(request, REQUEST)
+def ask(chunks: DataFrame, request: Callable[[pa.Table], pa.Table], parts: int) -> DataFrame:
+    """One request row per chunk and part, at its part; ``own`` rows are echoed to their chunk."""
+    return chunks.groupBy("_chunk").applyInArrow(request, REQUEST).repartitionById(parts, "_part")
 
 
-def answer(requests: DataFrame, reply: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return requests.groupBy("_part").applyInArrow(reply, ANSWER)
+def answer(requests: DataFrame, reply: Callable[[pa.Table], pa.Table], chunks: int) -> DataFrame:
+    return requests.groupBy("_part").applyInArrow(reply, ANSWER).repartitionById(chunks, "_chunk")
 
 
 def hear(chunks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -292,9 +292,9 @@ def score(docs: DataFrame, weights: np.ndarray | None, counts: np.ndarray) -> Da
                 column.append(x)
         return pa.table({"doc_id": ids, **{k: pa.array(np.concatenate(v)) for k, v in zip(("n_tokens", "n_known", "log_counts", "score"), out)}})
 
-    asked = X.ask(chunks, request)
+    asked = X.ask(chunks, request, parts)
     stats = asked.groupBy("_part").applyInArrow(tally, "tokens long, types long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("_types"))
-    told = X.hear(chunks, X.answer(asked, reply), use, fields)
+    told = X.hear(chunks, X.answer(asked, reply, n_chunks), use, fields)
     return told.crossJoin(F.broadcast(stats)).select(  # stats is one row
         "doc_id", (remainder() == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         (F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.1 * (F.col("_types") + 1))).alias("base_score"), "score",

@@ -2,8 +2,8 @@
 
 The mix is dealt in blocks of ``block`` words. Blocks are seats: sources get them by the highest
 quotients target / (2 k + 1), a source's seats go to its shards the same way by shard size, so every
-shard has an integer quota. A shard is a seeded hash class of a source's documents, about ``shard_words``
-words, laid on a ring in seeded order; its quota is a seeded run of neighbouring blocks of that ring
+shard has an integer quota. A shard is a seeded hash class of a source's documents, of about ``shard_words``
+words (more where a source would have over ``MAX_SHARDS`` of them, so that one task can rank a source's shards), laid on a ring in seeded order; its quota is a seeded run of neighbouring blocks of that ring
 (whole rounds first when it exceeds one), so which words a document gives follows from its place alone.
 Nothing is drawn at run time: reruns agree.
 
@@ -29,6 +29,7 @@ BUDGET = 1.5
 CAP = 2
 BLOCK = 64
 SHARD_WORDS = 131_072
+MAX_SHARDS = 65_536
 SEED = 20_240_607
 #: Sources that may be sent to every executor: rows of under 100 bytes.
 MAX_BROADCAST = 10_000
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
     named = sources.withColumn("_s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
     wanted = named.withColumn("_seats", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"))
     wanted = wanted.join(sainte_lague(wanted.withColumn("_one", F.lit(1)), ["_one"], "_s", "target", "_seats").select("_s", "won"), "_s", "left")
-    wanted = cut(wanted.select("_s", "source_size", "target", F.coalesce("won", F.lit(0)).alias("_seats"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("_shards")))
+    wanted = cut(wanted.select("_s", "source_size", "target", F.coalesce("won", F.lit(0)).alias("_seats"), F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words))).alias("_shards")))
     if wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # else an ordinary join, whose hot sources Spark splits
         wanted = F.broadcast(wanted)
 
@@ -133,7 +134,7 @@ s2 AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS budget,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
     sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s1),
 s3 AS (SELECT *, max((budget - before) / rest) OVER () AS level FROM s2),
-s4 AS (SELECT source, source_size, least(cap, level * weight) AS target, greatest(1, ceil(source_size / {SHARD_WORDS}))::BIGINT AS shards FROM s3),
+s4 AS (SELECT source, source_size, least(cap, level * weight) AS target, greatest(1, least({MAX_SHARDS}, ceil(source_size / {SHARD_WORDS})))::BIGINT AS shards FROM s3),
 s5 AS (SELECT *, round(sum(target) OVER () / {BLOCK})::BIGINT AS seats, sum(target) OVER () AS votes, count(*) OVER () AS n FROM s4),
 bid AS (SELECT source, target / (2 * k + 1) AS bid, k FROM (SELECT *, unnest(range(0, ceil(target * seats / votes * (1 + n / (2.0 * seats)) + 2)::BIGINT)) AS k FROM s5 WHERE target > 0)),
 won AS (SELECT source, count(*) AS won FROM (SELECT *, row_number() OVER (ORDER BY bid DESC, source NULLS LAST, k) AS place FROM bid) WHERE place <= (SELECT max(seats) FROM s5) GROUP BY source),

@@ -11,7 +11,8 @@ Its cleaned text is what ``clean`` passes on: the lines that do not fail, byte f
 without words do not fail). Counts and verdicts are of the text as given.
 
 Defined cases: null and empty texts have no words and fail the base check; repeated rows are judged each
-by itself; very long texts are read whole; an empty table gives an empty result.
+by itself; very long texts are read whole; ties do not arise, every row has a verdict of its own; an empty table gives
+an empty result; other columns are ignored by ``quality`` and passed on by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from lexgrove.llm.textkernel import U64, Words, mix, raw, segment_hash, slices, texts_of, whole_windows, window_hash, BYTE_CODE
+from lexgrove.llm.textkernel import U64, Words, mix, raw, segment_hash, slices, texts_of, whole_windows, window_hash
 
 #: Lower-case ASCII phrases that mark a line as boilerplate.
 STOCK_PHRASES = (
@@ -135,12 +136,20 @@ def judge(column: pa.Array, rules: Rules = RULES) -> tuple[dict[str, np.ndarray]
     word_to = np.searchsorted(w.starts, stop)
     in_line = word_to - word_at
     has = in_line > 0
-    key = segment_hash(BYTE_CODE[d], begin, stop) ^ salt[of_row] if rows else np.zeros(0, U64)
+    key = segment_hash(d, begin, stop) ^ salt[of_row] if rows else np.zeros(0, U64)
     dup = np.zeros(len(begin), dtype=bool)
     live = np.flatnonzero(has)
     if len(live):
         order = live[np.argsort(key[live], kind="stable")]
-        dup[order[1:][key[order[1:]] == key[order[:-1]]]] = True
+        again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        dup[order[again + 1]] = True
+        line = lambda k: (of_row[k], d[begin[k] : stop[k]].tobytes())
+        if any(line(order[k]) != line(order[k + 1]) for k in again):  # lines that only share a hash: by their bytes
+            seen: set[tuple] = set()
+            dup[:] = False
+            for k in live:
+                dup[k] = line(k) in seen
+                seen.add(line(k))
     n_dup = np.bincount(of_row, weights=dup, minlength=rows).astype(np.int64)
 
     size = w.ends - w.starts

@@ -190,9 +190,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         kept = [b" ".join(t.as_py().encode().split() if not r else list(itertools.compress(t.as_py().encode().split(), keep[a:b]))).decode() for t, r, a, b in zip(texts, removed, first, first[1:])]
         return pa.table({"doc_id": doc_ids, "n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())})
 
-    seen = X.answer(X.ask(chunks, send_anchors), repeated)
-    told = X.answer(X.hear(chunks, seen, send_windows, X.REQUEST), later)
-    return X.hear(chunks, told, drop, "doc_id long, n_words long, n_removed long, kept_text string")
+    seen = X.answer(X.ask(chunks, send_anchors, parts), repeated, n_chunks)
+    # a chunk's own row comes back to it by a part of its own
+    asked = X.hear(chunks, seen, send_windows, X.REQUEST).repartitionById(parts + n_chunks, "_part")
+    return X.hear(chunks, X.answer(asked, later, n_chunks), drop, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A *word* is a maximal run of bytes other than space and \\t..\\r, i.e. ``[^\\x20\\x09-\\x0D]+``.
 All work is done on the UTF-8 bytes of a whole batch with numpy; a text is never cut.
-Hashes of words and windows are 64-bit: prefix sums of ``table[byte] * P**i`` modulo 2**64 give
-every segment's polynomial hash by one subtraction and a multiplication by ``P**-start``.
+Hashes of words and windows have 62 bits, mixed to 64: prefix sums of ``code * base**i`` modulo the prime 2**31 - 1, for
+two bases and two halves of each code, give every segment's polynomial hash by one subtraction and a multiplication by
+``base**-start``. A prime modulus matters: modulo a power of two, texts of a doubling pattern share one hash for every base.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 BATCH_BYTES = 1 << 19
+BITS = U64(31)
+PRIME = U64((1 << 31) - 1)
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -33,29 +36,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-BYTE_CODE = splitmix(256, 11)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE_CODE_LOWER = BYTE_CODE[LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int, base: int = 0x9E3779B97F4A7C15 | 1) -> tuple[np.ndarray, np.ndarray]:
-    """(base**i, base**-i) modulo 2**64 for i < n at least; kept, and grown where a longer text asks for it."""
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base**i, base**-i) modulo PRIME for i < n at least; kept, and grown where a longer text asks for it."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = -(-n // 65_536) * 65_536
+        size = 1 << max(16, (n - 1).bit_length())
         out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, dtype=U64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
+        for b in (base, pow(base, -1, int(PRIME))):
+            a, k = np.ones(size, dtype=U64), 1
+            while k < size:
+                a[k : 2 * k] = a[:k] * U64(pow(b, k, int(PRIME))) % PRIME
+                k *= 2
+            out.append(a)
         _powers[base] = have = (out[0], out[1])
     return have
 
 
+_kept: dict[int, np.ndarray] = {}
+
+
+def scratch(k: int, n: int) -> np.ndarray:
+    """Room for n numbers, the same again at the next call: fresh pages cost more than the sums that fill them."""
+    if n > 1 << 21:
+        return np.empty(n, dtype=U64)
+    if k not in _kept or len(_kept[k]) < n:
+        _kept[k] = np.empty(max(n, 1 << 20), dtype=U64)
+    return _kept[k][:n]
+
+
+def fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is x modulo PRIME."""
+    high = x >> BITS
+    x &= PRIME
+    x += high
+    return x
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One string array without nulls (null counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,15 +106,32 @@ def slices(column: pa.Array, size: int = BATCH_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def segment_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x9E3779B97F4A7C15 | 1) -> np.ndarray:
-    """Hash of codes[start:end] for each segment, independent of where it stands."""
+def segment_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hash of codes[start:end] for each segment, independent of where it stands. codes: bytes or 64-bit hashes."""
     n = len(codes)
-    up, down = powers(n + 1, base)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum(codes * up[:n], out=total[1:])
-    h = total[ends] - total[starts]
-    h *= down[starts]
-    return mix(h + (ends - starts).astype(U64))
+    out = np.zeros(len(starts), dtype=U64)
+    for half in (0, 1):
+        up, down = powers(n + 1, (base >> 31 * half) % int(PRIME - U64(3)) + 2)
+        terms = scratch(0, n)
+        if codes.dtype == np.uint8:
+            np.multiply(codes, up[:n], out=terms)
+        else:
+            np.right_shift(codes, U64(31 * half), out=terms)
+            terms &= PRIME
+            terms *= up[:n]
+        if codes.dtype != np.uint8 or n > 1 << 24:  # else no sum reaches 2**63
+            high = np.right_shift(terms, BITS, out=scratch(1, n + 1)[:n])
+            terms &= PRIME
+            terms += high
+        total = scratch(1, n + 1)
+        total[0] = 0
+        np.cumsum(terms, out=total[1:])
+        h = fold(fold(total[ends] - total[starts]))
+        h *= down[starts]
+        h = fold(fold(h))
+        h[h >= PRIME] -= PRIME
+        out |= h << U64(31 * half)
+    return mix(out + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 class Words:
@@ -117,7 +157,7 @@ class Words:
         self.first = np.searchsorted(self.starts, o)
         self.counts = np.diff(self.first)
         if hashes:
-            self.hashes = segment_hash((BYTE_CODE_LOWER if lower else BYTE_CODE)[d], self.starts, self.ends)
+            self.hashes = segment_hash(LOWER[d] if lower else d, self.starts, self.ends)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""

@@ -6,8 +6,11 @@ with x_i = 1 for a term that occurs: the pair part learns interactions (an insul
 that additive weights miss.
 
 Fitting is on a bounded sample of labelled rows (``max_train``, chosen by a hash of doc_id): document
-frequencies of every term by label give a two-sample z, the ``max_terms`` largest at or beyond ``min_z``
-are the machine's terms, and one task fits it by Adam on that bounded matrix. Every whole text is scored.
+frequencies of every term by label give a two-sample z, and the ``max_terms`` largest at or beyond ``min_z``
+are terms of the machine. A term may tell only beside another: so the terms are judged again within the documents
+that hold a term found before (``min_pair_z``, as many more), which brings in the group mention that is as frequent
+in clean texts but not beside an insult. One task fits the machine by Adam on that bounded matrix; only
+places in it reach that task, not the texts' terms. Every whole text is scored.
 
 Defined cases: null and empty texts have no terms and get the sigmoid of the bias alone; rows of labels
 without a label or doc_id are left out and a doc_id labelled more than once counts as toxic if any row says
@@ -25,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm.cluster import cut
-from lexgrove.llm.textkernel import BYTE_CODE_LOWER, U64, Words, mix, segment_hash, slices, texts_of
+from lexgrove.llm.textkernel import LOWER, U64, Words, mix, segment_hash, slices, texts_of
 
 #: Labelled documents the machine is fitted on, at most (in expectation; chosen by hash).
 MAX_TRAIN = 16_384
 MAX_TERMS = 1_024
 MIN_Z = 4.5
+MIN_PAIR_Z = 5.0
 PREFIXES = (4, 5, 6, 7, 8)
 FACTORS = 4
 THRESHOLD = 0.3
@@ -50,7 +54,7 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             break
         e -= back
         s += front
-    codes = BYTE_CODE_LOWER[w.data]
+    codes = LOWER[w.data]
     parts, rows = [segment_hash(codes, s, e)], [row]
     for k in PREFIXES:
         long = e - s > k
@@ -95,7 +99,7 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = 30,
     return float(p[0]), p[1 : k + 1].copy(), p[k + 1 :].reshape(k, factors).copy()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS, min_z: float = MIN_Z) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS, min_z: float = MIN_Z, min_pair_z: float = MIN_PAIR_Z) -> dict:
     """bias, terms (sorted), w and v of the machine."""
     known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic is not null").where(remainder() != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
@@ -128,27 +132,46 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
             for (term, count), y in zip(sides, (0, 1)):
                 yield pa.RecordBatch.from_pydict({"term": term, "pos": count * y, "neg": count * (1 - y)})
 
-    p, q = F.col("pos") / float(toxic), F.col("neg") / float(total - toxic)
-    r = (F.col("pos") + F.col("neg")) / float(total)
-    z = (p - q) / F.sqrt(F.greatest(r * (1 - r), F.lit(1e-12)) * (1.0 / toxic + 1.0 / (total - toxic)))
-    freq = sample.mapInArrow(spread, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = freq.where("pos + neg >= 5").withColumn("z", F.abs(z)).where(F.col("z") >= min_z).orderBy(F.col("z").desc(), "term").limit(max_terms).select("term").collect()
-    chosen_terms = np.sort(np.array([x[0] for x in best], dtype=np.int64))
-    if not len(chosen_terms):
+    def telling(some: DataFrame, least: float) -> list[int]:
+        """The terms that tell the labels of some apart, by their z."""
+        n = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        every, yes = int(n[0]), int(n[1])
+        if not yes or yes == every:
+            return []
+        p, q = F.col("pos") / float(yes), F.col("neg") / float(every - yes)
+        r = (F.col("pos") + F.col("neg")) / float(every)
+        z = (p - q) / F.sqrt(F.greatest(r * (1 - r), F.lit(1e-12)) * (1.0 / yes + 1.0 / (every - yes)))
+        freq = some.mapInArrow(spread, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        best = freq.where("pos + neg >= 5").withColumn("z", F.abs(z)).where(F.col("z") >= least).orderBy(F.col("z").desc(), "term").limit(max_terms)
+        return [x[0] for x in best.select("term").collect()]
+
+    def holding(found: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([bool(np.isin(np.frombuffer(t, np.int64), found).any()) for t in b.column("terms").to_pylist()], pa.bool_()))
+
+        return run
+
+    alone = telling(sample, min_z)
+    if not alone:
         return model
+    beside = telling(sample.mapInArrow(holding(np.array(alone, dtype=np.int64)), "toxic int, terms binary"), min_pair_z)
+    chosen_terms = np.unique(np.array([*alone, *beside], dtype=np.int64))
 
-    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ys = [], []
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob, y in zip(b.column("terms").to_pylist(), b.column("toxic").to_pylist()):
-                rows.append(np.isin(chosen_terms, np.frombuffer(blob, np.int64)))
-                ys.append(y)
-        x, y = np.array(rows, dtype=np.float32).reshape(len(rows), len(chosen_terms)), np.array(ys, dtype=np.float32)
-        order = np.lexsort((*x[:, :: max(1, x.shape[1] // 32)].T, x.sum(1), y))  # the order of arrival must not matter
-        bias, w, v = fit(x[order], y[order])
+            rows = [np.flatnonzero(np.isin(chosen_terms, np.frombuffer(t, np.int64))).astype(">u2").tobytes() for t in b.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "terms": pa.array(rows, pa.binary())})
+
+    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, y) for b in batches for t, y in zip(b.column("terms").to_pylist(), b.column("toxic").to_pylist()))  # the order of arrival must not matter
+        x, y = np.zeros((len(rows), len(chosen_terms)), dtype=np.float32), np.array([y for _, y in rows], dtype=np.float32)
+        for i, (t, _) in enumerate(rows):
+            x[i, np.frombuffer(t, ">u2")] = 1
+        bias, w, v = fit(x, y)
         yield pa.RecordBatch.from_pydict({"bias": pa.array([bias]), "w": pa.array([w.astype(np.float64).tobytes()]), "v": pa.array([v.astype(np.float64).tobytes()])})
 
-    got = sample.repartition(1).mapInArrow(matrix, "bias double, w binary, v binary").first()
+    got = sample.mapInArrow(places, "toxic int, terms binary").repartition(1).mapInArrow(matrix, "bias double, w binary, v binary").first()
     return {"bias": got["bias"], "terms": chosen_terms, "w": np.frombuffer(got["w"]), "v": np.frombuffer(got["v"]).reshape(len(chosen_terms), -1)}
 
 

@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from lexgrove.llm.textkernel import Words, slices, whole_windows, window_hash
+from lexgrove.llm import near_dedup, quality
+from lexgrove.llm.textkernel import PRIME, Words, powers, segment_hash, slices, whole_windows, window_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -37,3 +38,41 @@ def test_windows_stay_in_their_row():
     assert at.tolist() == [0, 5, 6]
     assert len(window_hash(w.hashes, 3)) == 7
     assert len(window_hash(w.hashes, 20)) == 0
+
+
+def doubling(n, a, b):
+    """The sequence that defeats every polynomial modulo a power of two, and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return [b if x else a for x in bits], [a if x else b for x in bits]
+
+
+def test_doubling_patterns_have_hashes_of_their_own():
+    x, y = doubling(2048, "a", "b")
+    w = Words(pa.array(["".join(x), "".join(y)]))
+    assert len(w.hashes) == 2 and w.hashes[0] != w.hashes[1]
+    w = Words(pa.array([" ".join(x), " ".join(y)]))
+    assert len(set(window_hash(w.hashes, 2048)[[0, 2048]].tolist())) == 2
+    assert len(set(near_dedup.copy_keys(pa.array([" ".join(x), " ".join(y), "", " ".join(x) + "\n"])))) == 3
+    out, _ = quality.judge(pa.array([" ".join(x) + "\n" + " ".join(y), " ".join(x) + "\n" + " ".join(x)]))
+    assert out["n_dup_lines"].tolist() == [0, 1]
+
+
+def test_lines_are_compared_by_content(monkeypatch):
+    monkeypatch.setattr(quality, "segment_hash", lambda codes, a, b: np.zeros(len(a), np.uint64))
+    out, _ = quality.judge(pa.array(["one\ntwo\none\n\ntwo", "one\nthree"]))
+    assert out["n_dup_lines"].tolist() == [2, 0]
+
+
+def test_segment_hash_is_the_polynomial():
+    p = int(PRIME)
+    codes = np.random.default_rng(2).integers(0, 2**64, 50, dtype=np.uint64)
+    base = 0x123456789ABCDEF1
+    up, down = powers(60, 7)
+    assert all(int(u) * int(v) % p == 1 for u, v in zip(up[:60], down[:60]))
+    seen = {}
+    for a in range(50):
+        for b in range(a, 51):
+            key = [sum((int(c) >> 31 * half & p) * pow((base >> 31 * half) % (p - 3) + 2, i, p) for i, c in enumerate(codes[a:b])) % p for half in (0, 1)]
+            h = int(segment_hash(codes, np.array([a]), np.array([b]), base)[0])
+            assert seen.setdefault((b - a, *key), h) == h
+    assert len(set(seen.values())) == len(seen)

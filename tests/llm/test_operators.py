@@ -458,6 +458,35 @@ def test_toxicity_learns_interactions():
     assert ((p >= 0.5) == (y > 0)).mean() > 0.98
 
 
+def test_toxicity_finds_terms_that_tell_only_beside_others(spark):
+    """The group word is as frequent in clean texts; it tells only beside the insult."""
+    import random
+
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(2400):
+        w = data.prose(rng, 40, 300).split()
+        bad = i % 4 == 0
+        if bad and i % 8 == 0:
+            own = ["grumbler", "townsfolk"]
+        elif bad:
+            own = ["ihurtyou"]
+        else:
+            own = rng.choice([["grumbler"], ["townsfolk"], ["townsfolk"], []])
+        for x in own:
+            w.insert(rng.randrange(len(w)), x)
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert abs(sum(1 for r, y in zip(rows, labels) if y[2] and "townsfolk" in r[1]) / 600 - sum(1 for r, y in zip(rows, labels) if not y[2] and "townsfolk" in r[1]) / 1800) < 0.04
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i in got if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] == labels[i][2] for i in held) >= 0.97 * len(held)
+    again = {r["doc_id"]: r["score"] for r in toxicity.score(docs.repartition(7), toxicity.train(docs.repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    assert all(abs(again[i] - got[i]["score"]) < 1e-9 for i in got)
+
+
 def test_toxicity_held_out_and_odd_cases(spark):
     import random
 
