@@ -9,9 +9,9 @@ The first two factors are softmaxes over sums of hashed feature rows: bias, the
 pair before it, and skips to the second and third word back. P(token | bucket) is c / (N_b + u), and
 u / (N_b + u) for a token not seen in training (u = 0.1), so the whole sums to one.
 
-Training passes once over every training document in ``ROUNDS`` rounds. In each, every partition starts
-from the shared weights and takes minibatch AdaGrad steps over its share; the new weights are the means,
-weighted by tokens. Weights have a fixed size (about 3 MB); what grows with the corpus, token counts, is
+Training passes once over every training document in ``ROUNDS`` rounds, each over the documents of its share by hash. In
+each, every partition starts from the shared weights and AdaGrad sums and takes minibatch steps over its part; the new
+weights and sums are the means, weighted by tokens. Weights have a fixed size (about 3 MB); what grows with the corpus, token counts, is
 exchanged between chunks of documents, never gathered in one place. Scoring is numpy batches over those
 sparse rows.
 
@@ -37,13 +37,15 @@ BUCKETS = CLASSES * CLASSES
 WORD_ROWS, PAIR_ROWS, PLACE_ROWS = 4096, 8192, 16384
 #: Feature rows of the class softmax: word before, skips to two and three back (by bucket), pair before.
 CLASS_ROWS = WORD_ROWS + 2 * BUCKETS + PAIR_ROWS
-ROUNDS = 2
+ROUNDS = 4
 FOLDS = 10
 UNSEEN = 0.1
 STEP = 16_384
 RATE = 0.3
 BLOCK_ROWS = 1024
 END_KEY = U64(1)
+#: Numbers of the blocks that are no weights.
+COUNTS, GRADIENTS = -1, -2
 
 
 class Tokens:
@@ -82,7 +84,7 @@ class Tokens:
         pair = (mix((b1 * BUCKETS + b2).astype(U64)) % U64(PAIR_ROWS)).astype(np.int64)
         self.rows = np.stack([word, WORD_ROWS + b2, WORD_ROWS + BUCKETS + b3, WORD_ROWS + 2 * BUCKETS + pair])
         cls = self.bucket >> 5
-        self.places = np.stack([(mix((self.rows[k] * CLASSES + cls).astype(U64) + U64(k << 40)) % U64(PLACE_ROWS)).astype(np.int64) for k in (0, 1)])
+        self.places = np.stack([(mix((self.rows[k] * CLASSES + cls).astype(U64) + U64(k << 40)) % U64(PLACE_ROWS)).astype(np.int64) for k in range(len(self.rows))])
 
 
 class Model:
@@ -90,14 +92,15 @@ class Model:
 
     SIZES = (1, CLASSES, CLASS_ROWS, PLACE_ROWS)
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, seen: np.ndarray | None = None):
         total = sum(self.SIZES)
         total += -total % BLOCK_ROWS
         self.empty = flat is None
         self.flat = np.zeros((total, CLASSES), dtype=np.float32) if flat is None else flat.reshape(total, CLASSES).copy()
         cut = np.cumsum((0, *self.SIZES))
         self.bias, self.place_bias, self.by_class, self.by_place = (self.flat[a:b] for a, b in zip(cut, cut[1:]))
-        self.seen = np.zeros((4, max(self.SIZES)), dtype=np.float32)
+        #: AdaGrad's mean squared gradients by table and row.
+        self.seen = np.zeros((4, max(self.SIZES)), dtype=np.float32) if seen is None else seen.reshape(4, max(self.SIZES)).copy()
 
     def logits(self, t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Shifted logits (largest 0) of every class, and of every place in the true class, for tokens a:b."""
@@ -171,23 +174,23 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray | None, np.
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where(remainder() != 0)
     share = F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(rounds))
-    weights, counts = None, np.zeros(BUCKETS, dtype=np.int64)
+    weights, gradients, counts = None, None, np.zeros(BUCKETS, dtype=np.int64)
     fields = "block int, n double, body binary"
 
     def mean(table: pa.Table) -> pa.Table:
         n = np.array(table["n"].to_pylist())
         block = table["block"][0].as_py()
-        if block < 0:
+        if block == COUNTS:
             body = sum(np.frombuffer(x, np.int64) for x in table["body"].to_pylist())
         else:
             body = (sum(np.frombuffer(x, np.float32).astype(np.float64) * k for x, k in zip(table["body"].to_pylist(), n)) / max(n.sum(), 1)).astype(np.float32)
         return pa.table({"block": pa.array([block], pa.int32()), "n": pa.array([n.sum()]), "body": pa.array([body.tobytes()], pa.binary())})
 
     for turn in range(rounds):
-        start = spark.sparkContext.broadcast(weights)
+        start = spark.sparkContext.broadcast((weights, gradients))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, seen = Model(start.value), np.zeros(BUCKETS, dtype=np.int64)
+            model, seen = Model(*start.value), np.zeros(BUCKETS, dtype=np.int64)
             for b in batches:
                 text = texts_of(b.column("text"))
                 for i, j in slices(text):
@@ -198,15 +201,16 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray | None, np.
             if n:
                 size = range(0, len(model.flat), BLOCK_ROWS)
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([*range(len(size)), -1], pa.int32()), "n": pa.array([n] * (len(size) + 1)),
-                    "body": pa.array([*(model.flat[i : i + BLOCK_ROWS].tobytes() for i in size), seen.tobytes()], pa.binary()),
+                    "block": pa.array([*range(len(size)), COUNTS, GRADIENTS], pa.int32()), "n": pa.array([n] * (len(size) + 2)),
+                    "body": pa.array([*(model.flat[i : i + BLOCK_ROWS].tobytes() for i in size), seen.tobytes(), model.seen.tobytes()], pa.binary()),
                 })
 
         parts = rows.where(share == turn).select("text").mapInArrow(learn, fields)
         some = parts.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).applyInArrow(mean, fields)
         got = {x["block"]: x["body"] for x in some.groupBy("block").applyInArrow(mean, fields).collect()}
         if got:
-            counts += np.frombuffer(got.pop(-1), np.int64)
+            counts += np.frombuffer(got.pop(COUNTS), np.int64)
+            gradients = np.frombuffer(got.pop(GRADIENTS), np.float32)
             weights = np.concatenate([np.frombuffer(got[k], np.float32) for k in sorted(got)])
     return weights, counts
 

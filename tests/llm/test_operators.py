@@ -445,6 +445,27 @@ def test_lm_probabilities_sum_to_one_and_learn():
     assert m.log_prob(t).mean() > unigram  # the word before tells the dialect
 
 
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """Texts with an order of their own: the words after a word are few."""
+    import random
+
+    rng = random.Random(21)
+    after = {f"w{i}": [f"w{rng.randrange(200)}" for _ in range(3)] for i in range(200)}
+    rows = []
+    for i in range(400):
+        w = [f"w{rng.randrange(200)}"]
+        while len(w) < 150:
+            w.append(rng.choice(after[w[-1]]))
+        rows.append((i, " ".join(w), "en", "s", 0))
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    for parts in (1, 6):  # learning from more partitions must not lose it
+        dealt = docs.repartition(parts, "doc_id")
+        got = maxent.score(dealt, *maxent.train(dealt)).where("held_out").collect()
+        assert len(got) > 20
+        gain = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+        assert gain > 0.2, gain
+
+
 # toxicity
 
 
