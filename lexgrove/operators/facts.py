@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import PII, fact_value, holds_quote
+from lexgrove.functions.text import personal, put_between, fact_value, holds_quote
 
 ROLES = ("viewer", "editor", "owner")
 DATED_ROLES = ("act_received", "decision_received", "decision_date", "complaint_decision_date")
@@ -43,28 +43,15 @@ def case_dates(facts: DataFrame) -> DataFrame:
 def redact(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, tokens map: every personal value replaced by [KIND-n], equal values by equal tokens, n by first place.
 
-    A text is its own scope, so this is a map; ``restore`` undoes it exactly.
+    A text is its own scope, so this is a projection of built-in functions; ``restore`` undoes it exactly.
     """
-    compiled = [(k, re.compile(p.replace(r"[\p{L}\p{N}_.+-]", r"[\w.+-]").replace(r"[\p{L}\p{N}_-]", r"[\w-]").replace(r"[\p{L}\p{N}_.-]", r"[\w.-]").replace(r"[\p{L}]", r"[^\W\d_]").replace(r"\p{L}", r"[^\W\d_]"))) for k, p in PII]
-
-    def one(value: str) -> tuple[str, dict[str, str]]:
-        tokens: dict[tuple[str, str], str] = {}
-        for kind, pattern in compiled:
-            def put(m: re.Match) -> str:
-                k = (kind, m.group())
-                if k not in tokens:
-                    tokens[k] = f"[{kind}-{1 + sum(x[0] == kind for x in tokens)}]"
-                return tokens[k]
-            value = pattern.sub(put, value)
-        return value, {t: v for (_, v), t in tokens.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [one(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([list(d[1].items()) for d in done], pa.map_(pa.string(), pa.string()))], names=[key, text, "tokens"])
-
-    kind = dict(texts.dtypes)[key]
-    return texts.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, {text} string, tokens map<string,string>")
+    base = texts.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t")).withColumn("__found", personal("__t"))
+    listed = base.withColumn("__own", F.array_distinct("__found"))
+    place = lambda e: F.array_position(F.transform(F.filter("__own", lambda o: o["kind"] == e["kind"]), lambda o: o["value"]), e["value"])
+    named = listed.withColumn("__tokens", F.transform("__own", lambda e: F.concat(F.lit("["), e["kind"], F.lit("-"), place(e).cast("string"), F.lit("]"))))
+    tokens = F.transform("__found", lambda e: F.element_at("__tokens", F.array_position(F.col("__own"), e).cast("int")))
+    entries = F.map_from_arrays("__tokens", F.transform("__own", lambda e: e["value"]))
+    return named.select(key, F.when(F.size("__found") == 0, F.col("__t")).otherwise(put_between("__t", tokens)).alias(text), entries.alias("tokens"))
 
 
 def restore(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -15,13 +15,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import fact_date, html_text
+from lexgrove.operators.statute import OPENERS
 
 DOCUMENT_KINDS = ("letter", "plenum", "review", "ruling", "constitutional", "appeal")
 DOCUMENT = "doc_id string, kind string, agency string, number string, date date, title string, text string, source_url string, mandatory boolean, retrieved_at string, sha256 string, status string, category string, tags array<string>"
 UNIT = "unit_id string, act string, kind string, parent_unit_id string, number string, title string, label string, context string, is_chunk boolean, text string, full_text string, text_hash string, paragraphs array<string>, edit_note string, duplicate_of string, inferred boolean"
 POSITION = "position_id string, doc_id string, unit_id string, stance string, summary string, quote string, confidence double, extracted_by string, model string, verified boolean, verified_by string, created_at string"
 PARAMETER = "name string, title string, value double, unit string, source_unit_id string, anchor string, valid_from date, valid_to date, valid_from_source string, conditions map<string,string>, region string, tax string, status string"
-MARK = r"^(?:Часть|ЧАСТЬ|Раздел|РАЗДЕЛ|Подраздел|Глава|ГЛАВА|Статья|СТАТЬЯ)\s"
+#: Where a heading starts a block of its own.
+MARK = rf"^(?:{'|'.join(OPENERS)})\s"
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,8 +42,9 @@ def units(spark: SparkSession, folder: str, skip_act: str | None = None) -> Data
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Interpretation documents; a row of an unknown kind fails the read, a missing hash is computed."""
-    rows = spark.read.schema(DOCUMENT).option("pathGlobFilter", "[!p]*.jsonl").json(folder)
+    """Interpretation documents of all files but those of positions; a row of an unknown kind fails the read, a
+    missing hash is computed."""
+    rows = spark.read.schema(DOCUMENT).option("pathGlobFilter", "*.jsonl").json(folder).where(~F.col("_metadata.file_name").startswith("positions"))
     known = F.col("kind").isin(*DOCUMENT_KINDS)
     checked = F.when(known, F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown document kind: "), F.coalesce("kind", F.lit("NULL")))))
     return rows.withColumn("kind", checked).withColumn("sha256", F.coalesce("sha256", F.sha2("text", 256)))
@@ -169,13 +172,14 @@ def pdf_text(data: bytes) -> str:
 
 
 def xlsx_text(data: bytes, rows: int = 500) -> str:
-    """Sheets as Markdown rows, empty rows dropped, at most ``rows`` a sheet; needs the optional package openpyxl."""
+    """Sheets as Markdown rows, empty rows dropped; of a longer sheet ``rows`` rows and a line with the number of the others.
+    Needs the optional package openpyxl."""
     from openpyxl import load_workbook
 
     out = []
     for sheet in load_workbook(io.BytesIO(data), read_only=True, data_only=True):
-        kept = [r for r in sheet.iter_rows(values_only=True) if any(v is not None for v in r)][:rows]
-        out.append("\n".join([f"## {sheet.title}", *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in kept)]))
+        kept = [r for r in sheet.iter_rows(values_only=True) if any(v is not None for v in r)]
+        out.append("\n".join([f"## {sheet.title}", *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in kept[:rows]), *([f"({len(kept) - rows} more rows)"] if len(kept) > rows else [])]))
     return "\n\n".join(out)
 
 
