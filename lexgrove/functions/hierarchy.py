@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.sources.shared import written
+
 
 def ancestors(unit: str | Column) -> Column:
     """The identifier's own path and those above it, outermost first."""
@@ -57,15 +59,24 @@ def number_key(number: str | Column) -> Column:
     return F.when(c.rlike(r"^\d+([.-]\d+)*$"), F.transform(F.split(c, "[.-]"), lambda x: x.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def parent_closure(nodes: DataFrame, node: str, parent: str, depth: int = 16) -> DataFrame:
-    """node, ancestor, distance for every pair up to ``depth`` levels, by doubling joins (log2 rounds)."""
-    reach = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
+def parent_closure(nodes: DataFrame, node: str, parent: str, depth: int | None = None) -> DataFrame:
+    """node, ancestor, distance for every pair, or up to ``depth`` levels, by doubling joins.
+
+    Each of the log2 rounds is written, so a later one reads a table instead of all before; the rounds end where
+    no pair is twice as far. A cycle of parents ends them with an error.
+    """
+    reach = written(nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")).distinct())
     step = 1
-    while step < depth:
-        far = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach = reach.unionByName(far).distinct()
-        step *= 2
-    return reach.where(F.col("distance") <= depth)
+    while depth is None or step < depth:
+        top = reach.where(F.col("distance") == step).select(F.col("node").alias("__n"), F.col("ancestor").alias("__a"))
+        far = top.join(reach.withColumnRenamed("node", "__a"), "__a").select(F.col("__n").alias("node"), "ancestor", (F.col("distance") + step).alias("distance"))
+        far = written(far.distinct())
+        if far.isEmpty():
+            break
+        if not far.where(F.col("node") == F.col("ancestor")).isEmpty():
+            raise ValueError("a node is its own ancestor")
+        reach, step = reach.unionByName(far), step * 2
+    return reach if depth is None else reach.where(F.col("distance") <= depth)
 
 
 def subtree_totals(leaves: DataFrame, unit: str, value: str) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.functions.temporal import islands, range_join
+from lexgrove.functions.temporal import range_join
 
 # Rules of the term article, holidays of the labour code, rules applied by the calculators.
 TERM = "nk1.ch1.art6-1"
 TERM_RULES = {"start": f"{TERM}.p2", "years": f"{TERM}.p3", "quarters": f"{TERM}.p4", "months": f"{TERM}.p5", "days": f"{TERM}.p6", "calendar_days": f"{TERM}.p6", "shift": f"{TERM}.p7", "until_midnight": f"{TERM}.p8"}
 HOLIDAYS = ((1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (2, 23), (3, 8), (5, 1), (5, 9), (6, 12), (11, 4))
 PENALTY_DAYS, PENALTY_RATE, PENALTY_2022, PENALTY_2025 = "nk1.ch11.art75.p3", "nk1.ch11.art75.p4", "nk1.ch11.art75.p5", "nk1.ch11.art75.p5-1"
+#: Days from which another rule counts a day of delay.
+RULE_DAYS = ("2022-03-09", "2025-01-01", "2027-01-01")
 FINE_RULES = {"119": "nk1.ch16.art119.p1", "122": "nk1.ch16.art122.p1", "122_willful": "nk1.ch16.art122.p3", "126": "nk1.ch16.art126.p1"}
 MITIGATING, AGGRAVATING, REDUCE, INCREASE = "nk1.ch15.art112.p1", "nk1.ch15.art112.p2", "nk1.ch15.art114.p3", "nk1.ch15.art114.p4"
 OBJECTIONS, IN_FORCE, APPEAL, COMPLAINT = "nk1.ch14.art100.p6", "nk1.ch14.art101.p9", "nk1.ch19.art139-1.p2", "nk1.ch19.art139.p2"
@@ -88,17 +90,47 @@ def penalty_days(cases: DataFrame, rates: DataFrame, key: str = "case_id") -> Da
     return rated.withColumn("daily", F.col("amount") * F.col("rate") / 100 / F.col("denominator"))
 
 
+def penalty_pieces(cases: DataFrame, rates: DataFrame, key: str = "case_id") -> DataFrame:
+    """Stretches of a case's delay with one rate, denominator and rule: key, first, last, rate, denominator, rule, amount.
+
+    A delay is cut where a rule may change (six days at most) and then by the rates, whose number the years bound; a
+    day is never a row. As with ``penalty_days`` a case stops before its first day without a rate.
+    """
+    late = cases.where("paid > due and amount > 0").select(key, "amount", "taxpayer", "due", "paid", F.date_add("due", 1).alias("__from"))
+    marks = [F.col("__from"), F.date_add("due", 31), F.date_add("due", 91), *[F.to_date(F.lit(d)) for d in RULE_DAYS]]
+    starts = F.array_sort(F.array_distinct(F.filter(F.array(*marks), lambda d: (d >= F.col("__from")) & (d <= F.col("paid")))))
+    cut = late.withColumn("__s", F.when(F.col("taxpayer") == "individual", F.array("__from")).otherwise(starts)).select("*", F.posexplode("__s").alias("__i", "__first"))
+    cut = cut.withColumn("__last", F.coalesce(F.date_sub(F.try_element_at("__s", F.col("__i") + 2), 1), F.col("paid")))
+    known = F.broadcast(rates.select("valid_from", "valid_to", "rate"))  # one row a rate
+    met = cut.join(known, (F.col("__last") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("__first") < F.col("valid_to"))))
+    met = met.withColumn("first", F.greatest("__first", "valid_from")).withColumn("last", F.least("__last", F.coalesce(F.date_sub("valid_to", 1), F.col("__last"))))
+    order = W.partitionBy(key).orderBy("first")
+    gap = F.col("first") > F.coalesce(F.date_add(F.lag("last").over(order), 1), F.col("__from"))
+    met = met.withColumn("__gap", gap.cast("int")).withColumn("__gap", F.max("__gap").over(order)).where("__gap = 0")
+    person = F.col("taxpayer") == "individual"
+    denominator, rule = organization_share(F.col("first"), F.datediff("first", "due"))
+    return met.select(key, "first", "last", "rate", F.when(person, 300).otherwise(denominator).alias("denominator"), F.when(person, PENALTY_RATE).otherwise(rule).alias("rule"), "amount")
+
+
 def penalties(cases: DataFrame, rates: DataFrame, key: str = "case_id") -> DataFrame:
     """key, value (to the cent), days, applied; cases paid in time have value 0."""
-    daily = penalty_days(cases, rates, key)
-    sums = daily.groupBy(key).agg(F.round(F.sum("daily"), 2).alias("value"), F.count(F.lit(1)).alias("days"), F.sort_array(F.collect_set("rule")).alias("__rules"))
+    pieces = penalty_pieces(cases, rates, key).withColumn("__n", F.datediff("last", "first") + 1)
+    daily = F.col("amount") * F.col("rate") / 100 / F.col("denominator")
+    # amounts are added day by day, as the rule states them, so that half cents round as they do there; a case has few pieces
+    listed = F.sort_array(F.collect_list(F.struct("first", daily.alias("daily"), F.col("__n").alias("n"))))
+    total = F.aggregate(listed, F.lit(0.0), lambda sum_, piece: F.aggregate(F.sequence(F.lit(1), piece["n"]), sum_, lambda x, _: x + piece["daily"]))
+    sums = pieces.groupBy(key).agg(F.round(total, 2).alias("value"), F.sum("__n").alias("days"), F.sort_array(F.collect_set("rule")).alias("__rules"))
     out = cases.select(key).join(sums, key, "left")
     return out.select(key, F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("days", F.lit(0)).cast("long").alias("days"), F.concat(F.array(F.lit(PENALTY_DAYS)), F.coalesce("__rules", F.array().cast("array<string>"))).alias("applied"))
 
 
 def penalty_segments(cases: DataFrame, rates: DataFrame, key: str = "case_id") -> DataFrame:
-    """The steps: runs of days with one rate and one denominator."""
-    return islands(penalty_days(cases, rates, key), [key], "day", ["rate", "denominator"])
+    """The steps: runs of days with one rate and one denominator: key, rate, denominator, first, last, n."""
+    order = W.partitionBy(key).orderBy("first")
+    new = ~(F.lag("rate").over(order).eqNullSafe(F.col("rate")) & F.lag("denominator").over(order).eqNullSafe(F.col("denominator")))
+    runs = penalty_pieces(cases, rates, key).withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(order))
+    out = runs.groupBy(key, "__run", "rate", "denominator").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return out.select(key, "rate", "denominator", "first", "last", (F.datediff("last", "first") + 1).cast("long").alias("n"))
 
 
 def months_late(due: Column, actual: Column) -> Column:

@@ -41,8 +41,11 @@ def match_events(events: DataFrame, subscriptions: DataFrame, cites: DataFrame |
     """workspace_id, event_id, matched_by of events that touch a subscribed unit (itself, above, below, same
     article) or document; one row per workspace and event. cites(workspace_id, doc_id): documents its files cite."""
     units = events.where(F.col("kind").isin(*UNIT_KINDS) & F.col("unit_id").isNotNull()).select("event_id", F.col("unit_id").alias("__event_unit"))
-    wanted = subscriptions.where("unit_id is not null").select("workspace_id", F.col("unit_id").alias("__unit"))
-    hits = related_join(units, wanted, "__event_unit", "__unit").select("workspace_id", "event_id", F.col("__unit").alias("matched"))
+    # distinct units meet distinct subscriptions: a unit with many events is matched once, its events take the result
+    wanted = subscriptions.where("unit_id is not null").select("workspace_id", F.col("unit_id").alias("__unit")).distinct()
+    by_unit = related_join(units.select("__event_unit").distinct(), wanted, "__event_unit", "__unit").groupBy("__event_unit", "workspace_id").agg(F.collect_set("__unit").alias("__units"))
+    met = units.join(by_unit, "__event_unit")
+    hits = met.select("workspace_id", "event_id", F.explode("__units").alias("matched"))
     docs = events.where(F.col("kind").isin(*DOCUMENT_KINDS) & F.col("doc_id").isNotNull()).select("event_id", "doc_id")
     by_doc = docs.join(subscriptions.where("doc_id is not null").select("workspace_id", "doc_id"), "doc_id").select("workspace_id", "event_id", F.col("doc_id").alias("matched"))
     hits = hits.unionByName(by_doc)

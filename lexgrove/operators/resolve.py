@@ -17,21 +17,37 @@ NUMBERED = ("section", "chapter", "article", "point", "subpoint")
 
 
 def unit_index(units: DataFrame) -> DataFrame:
-    """kind, parent ('' for numbers that are unique in an act), number, variant, unit_id; duplicates stay out."""
-    parent = F.when(F.col("kind").isin("section", "chapter", "article"), F.lit("")).otherwise(F.col("parent_unit_id"))
+    """kind, parent, number, variant, unit_id; duplicates stay out. Sections, chapters and articles are listed under their
+    act (units may have none) and under '' for references whose act is not known."""
+    scopes = F.array(F.col("act"), F.lit("")) if "act" in units.columns else F.array(F.lit(""))
+    parent = F.when(F.col("kind").isin("section", "chapter", "article"), scopes).otherwise(F.array("parent_unit_id"))
     live = units.where(F.col("duplicate_of").isNull() & F.col("kind").isin(*NUMBERED) & F.col("number").isNotNull())
-    return live.select("kind", parent.alias("parent"), "number", F.explode(number_variants("number")).alias("variant"), "unit_id").distinct()
+    listed = live.select("kind", F.explode(parent).alias("parent"), "number", number_variants("number").alias("__v"), "unit_id")
+    return listed.select("kind", "parent", "number", F.explode("__v").alias("variant"), "unit_id").distinct()
 
 
-def by_number(rows: DataFrame, index: DataFrame, kind: str, number: str, parent: Column, out: str) -> DataFrame:
-    """rows(__id, ..) with the unit of that kind and number under parent, or NULL."""
-    asked = rows.where(F.col(number).isNotNull()).select("__id", F.col(number).cast("string").alias("__n"), parent.alias("__p"))
-    own = index.where(F.col("kind") == kind)
-    exact = own.where("variant = number").groupBy("parent", "number").agg(F.min("unit_id").alias("__hit"), F.count_distinct("unit_id").alias("__k")).where("__k = 1")
-    first = asked.join(exact, (F.col("__p") == F.col("parent")) & (F.col("__n") == F.col("number"))).select("__id", F.col("__hit").alias("__exact"))
-    loose = asked.withColumn("__v", F.explode(number_variants("__n"))).join(own, (F.col("__p") == F.col("parent")) & (F.col("__v") == F.col("variant")))
-    second = loose.groupBy("__id").agg(F.min("unit_id").alias("__loose"), F.count_distinct("unit_id").alias("__k")).where("__k = 1").drop("__k")
-    return rows.join(first, "__id", "left").join(second, "__id", "left").withColumn(out, F.coalesce("__exact", "__loose")).drop("__exact", "__loose")
+def by_numbers(rows: DataFrame, index: DataFrame, asked: list[tuple[str, str, Column, str]]) -> DataFrame:
+    """rows(__id, ..) with the unit of each (kind, number column, parent, result column), or NULL.
+
+    All spellings of all numbers of a row go out together, meet the index by one equality join and come back to their
+    row, which travels along: rows are read once, however many levels follow.
+    """
+    listed = []
+    for kind, number, parent, _ in asked:
+        n = F.col(number).cast("string")
+        spelled = F.transform(number_variants(n), lambda v: F.struct(F.lit(kind).alias("kind"), parent.alias("parent"), v.alias("variant"), n.alias("number")))  # noqa: B023
+        listed.append(F.when(n.isNotNull(), spelled).otherwise(F.filter(spelled, lambda v: F.lit(False))))
+    own = index.select(*[F.col(c).alias(f"__i_{c}") for c in ("kind", "parent", "variant", "number", "unit_id")])
+    sent = rows.select(F.struct(*rows.columns).alias("__row"), F.explode_outer(F.concat(*listed)).alias("__q"))
+    met = sent.join(own, (F.col("__q.kind") == F.col("__i_kind")) & (F.col("__q.parent") == F.col("__i_parent")) & (F.col("__q.variant") == F.col("__i_variant")), "left")
+    units = []
+    for kind, _, _, out in asked:
+        mine = F.col("__q.kind") == kind
+        exact = mine & (F.col("__q.variant") == F.col("__q.number")) & (F.col("__i_number") == F.col("__q.number"))
+        units += [F.collect_set(F.when(exact, F.col("__i_unit_id"))).alias(f"__exact_{out}"), F.collect_set(F.when(mine, F.col("__i_unit_id"))).alias(f"__loose_{out}")]
+    told = met.groupBy(F.col("__row.__id").alias("__key")).agg(F.first("__row").alias("__row"), *units)
+    one = lambda c: F.when(F.size(c) == 1, F.element_at(c, 1))
+    return told.select("__row.*", *[F.coalesce(one(f"__exact_{out}"), one(f"__loose_{out}")).alias(out) for *_, out in asked])
 
 
 def legal_lines(units: DataFrame) -> DataFrame:
@@ -49,22 +65,23 @@ def resolve(references: DataFrame, units: DataFrame) -> DataFrame:
     """references with to_unit_id, status, depth, note.
 
     References need from_unit_id, section, chapter, article, point, subpoint, paragraph_ordinal, relative_to;
-    a column ``kind`` of external_* makes a row external.
+    a column ``kind`` of external_* makes a row external. Numbers are those of the act of from_unit_id; where that unit
+    is not known, those that only one act has.
     """
     index = unit_index(units)
     rows = references.withColumn("__id", F.monotonically_increasing_id())
-    source = units.select(F.col("unit_id").alias("from_unit_id"), F.col("section_id").alias("__section"), F.col("chapter_id").alias("__chapter"), F.col("article_id").alias("__article"), F.col("point_id").alias("__point"), F.col("subpoint_id").alias("__subpoint"))
+    act = F.col("act") if "act" in units.columns else F.lit(None).cast("string")
+    source = units.select(F.col("unit_id").alias("from_unit_id"), act.alias("__act"), F.col("section_id").alias("__section"), F.col("chapter_id").alias("__chapter"), F.col("article_id").alias("__article"), F.col("point_id").alias("__point"), F.col("subpoint_id").alias("__subpoint"))
     rows = rows.join(source, "from_unit_id", "left")
-    for kind in ("section", "chapter", "article"):
-        rows = by_number(rows, index, kind, kind, F.lit(""), f"__to_{kind}")
+    rows = by_numbers(rows, index, [(kind, kind, F.coalesce("__act", F.lit("")), f"__to_{kind}") for kind in ("section", "chapter", "article")])
     base_kind = F.coalesce("relative_to", F.when(F.col("point").isNotNull(), "article").otherwise("point"))
     base = F.when(base_kind == "article", F.col("__article")).when(base_kind == "chapter", F.col("__chapter")).when(base_kind == "section", F.col("__section")).when(base_kind == "point", F.col("__point")).otherwise(F.col("__subpoint"))
     falls = base.isNull() & base_kind.isin("point", "subpoint")
     rows = rows.withColumn("__base", F.when(F.col("article").isNotNull(), F.col("__to_article")).otherwise(F.coalesce(base, F.when(falls, F.col("__article")))))
     rows = rows.withColumn("__base_kind", F.when(F.col("article").isNotNull() | falls, "article").otherwise(base_kind))
-    rows = by_number(rows, index, "point", "point", F.col("__base"), "__to_point")
+    rows = by_numbers(rows, index, [("point", "point", F.col("__base"), "__to_point")])
     at_point = F.when(F.col("point").isNotNull(), F.col("__to_point")).when(F.col("__base_kind") == "point", F.col("__base")).when(F.col("__base_kind") == "subpoint", F.col("__point"))
-    rows = by_number(rows, index, "subpoint", "subpoint", at_point, "__to_subpoint")
+    rows = by_numbers(rows.withColumn("__at_point", at_point), index, [("subpoint", "subpoint", F.col("__at_point"), "__to_subpoint")])
     host = F.when(F.col("subpoint").isNotNull(), F.col("__to_subpoint")).when(F.col("point").isNotNull(), F.col("__to_point")).otherwise(F.col("__base"))
     rows = rows.withColumn("__host", host)
     named = units.where("kind = 'paragraph'").select(F.col("parent_unit_id").alias("__host"), F.col("number").cast("int").alias("paragraph_ordinal"), F.col("unit_id").alias("__to_ab"))

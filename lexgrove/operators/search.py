@@ -33,7 +33,9 @@ def lexical(docs: DataFrame, query: str, k: int = 10, key: str = "unit_id", text
     """key, score, rank: distinct stem hits / (1 + length / 4000)."""
     asked = stems(F.lit(query))
     hits = F.size(F.array_intersect(stems(text), asked))
-    scored = docs.select(key, (hits / (1 + F.length(text) / 4000)).alias("score"), hits.alias("hits")).where("hits > 0")
+    # the explosion of one number or none keeps the hits from being computed again for the filter and the score
+    found = docs.select(key, F.length(text).alias("__length"), F.explode(F.filter(F.array(hits), lambda h: h > 0)).alias("hits"))
+    scored = found.select(key, (F.col("hits") / (1 + F.col("__length") / 4000)).alias("score"), "hits")
     return ranked(scored, key, k)
 
 
@@ -108,7 +110,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, embedded: list[float
     """Lexical and dense lists of depth 30 fused; an optional reranker maps (key, text) rows to scores."""
     out = fuse({"lexical": lexical(docs, query, DEPTH, key, text), "dense": dense(vectors, embedded, DEPTH, key)}, key, DEPTH)
     if rerank is not None:
-        scores = rerank(out.join(docs.select(key, F.substring(text, 1, 2000).alias("text")), key))
+        scores = rerank(out.join(docs.select(key, F.col(text).alias("text")), key))
         out = ranked(out.drop("score", "rank").join(scores.select(key, "score"), key), key, DEPTH)
     return out.where(F.col("rank") <= k)
 

@@ -7,42 +7,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrove.functions.hierarchy import number_key
+from lexgrove.operators.statute import REPEALED_WORDS
 
 ALLOWED_PARENTS = {"part": (), "section": ("part",), "subsection": ("section",), "chapter": ("part", "section", "subsection"), "article": ("chapter", "section", "subsection", "part"), "point": ("article",), "subpoint": ("point",), "paragraph": ("article", "point", "subpoint")}
 
 
-def _issue(df: DataFrame, rule: str, severity: str, detail) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "unit_id", detail.cast("string").alias("detail"))
-
-
 def validate(units: DataFrame) -> DataFrame:
-    """Issues of units(act, unit_id, parent_unit_id, kind, number, text, edit_note, ord)."""
+    """Issues of units(act, unit_id, parent_unit_id, kind, number, text, edit_note, duplicate_of, ord).
+
+    Every rule reads flags that one pass over the ordered units computes; a unit's parent and its having children are
+    the only joins.
+    """
     u = units.withColumn("__key", number_key("number"))
-    out = _issue(u.withColumn("__n", F.row_number().over(W.partitionBy("unit_id").orderBy("ord"))).where("__n > 1"), "duplicate_unit_id", "error", F.col("__n"))
-    out = out.unionByName(_issue(u.where("parent_unit_id is null and kind <> 'part'"), "orphan_unit", "error", F.col("kind")))
-    parents = u.select(F.col("unit_id").alias("parent_unit_id"), F.col("kind").alias("__parent")).dropDuplicates(["parent_unit_id"])
-    hung = u.where("parent_unit_id is not null").join(parents, "parent_unit_id", "left")
-    out = out.unionByName(_issue(hung.where("__parent is null"), "missing_parent", "error", F.col("parent_unit_id")))
+    keyed = F.when(F.size("__key") > 0, F.col("__key"))
+    before = lambda own, *keys: F.last(own, True).over(W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
+    is_article = (F.col("kind") == "article") & F.col("duplicate_of").isNull()
+    u = u.withColumn("__nth", F.row_number().over(W.partitionBy("unit_id").orderBy("ord")))
+    u = u.withColumn("__article", before(F.when(is_article, keyed), "act")).withColumn("__sibling", before(keyed, "parent_unit_id", "kind"))
+    parents = units.select(F.col("unit_id").alias("parent_unit_id"), F.col("kind").alias("__parent")).dropDuplicates(["parent_unit_id"])
+    hosts = units.where("parent_unit_id is not null").select(F.col("parent_unit_id").alias("unit_id"), F.lit(True).alias("__host")).distinct()
+    u = u.join(parents, "parent_unit_id", "left").join(hosts, "unit_id", "left")
+
+    kind, key, note = F.col("kind"), F.col("__key"), F.coalesce(F.lower("edit_note"), F.lit("")).contains("утратил")
     allowed = F.lit(False)
-    for kind, above in ALLOWED_PARENTS.items():
-        allowed = allowed | ((F.col("kind") == kind) & F.col("__parent").isin(*above)) if above else allowed
-    out = out.unionByName(_issue(hung.where(F.col("__parent").isNotNull() & ~allowed), "bad_parent_kind", "error", F.col("__parent")))
-
-    keyed = u.where(F.size("__key") > 0)
-    before = F.lag("__key").over(W.partitionBy("act").orderBy("ord"))
-    articles = keyed.where("kind = 'article' and duplicate_of is null").withColumn("__before", before)
-    out = out.unionByName(_issue(articles.where(F.col("__before").isNotNull() & (F.col("__key") <= F.col("__before"))), "article_order", "error", F.col("number")))
-    gap = articles.where((F.size("__key") == 1) & (F.size("__before") == 1) & (F.element_at("__key", 1) > F.element_at("__before", 1) + 1))
-    out = out.unionByName(_issue(gap, "article_gap", "info", F.col("number")))
-    for kind in ("point", "subpoint"):
-        run = keyed.where(F.col("kind") == kind).withColumn("__before", F.lag("__key").over(W.partitionBy("parent_unit_id").orderBy("ord")))
-        out = out.unionByName(_issue(run.where(F.col("__before").isNotNull() & (F.col("__key") <= F.col("__before"))), f"{kind}_order", "error", F.col("number")))
-    out = out.unionByName(_issue(u.where((F.col("kind") == "subpoint") & (F.size("__key") == 0)), "subpoint_number", "error", F.col("number")))
-    leaf = u.where(F.col("kind").isin("article", "point", "subpoint", "paragraph") & (F.trim("text") == "") & ~F.coalesce(F.lower("edit_note"), F.lit("")).contains("утратил"))
-    leaf = leaf.join(u.select(F.col("parent_unit_id").alias("unit_id")).distinct(), "unit_id", "left_anti")
-    out = out.unionByName(_issue(leaf, "empty_text", "warning", F.col("kind")))
-    out = out.unionByName(_issue(u.where(F.lower("text").rlike(r"^утратил[аи]?\s+силу") | F.lower(F.coalesce("edit_note", F.lit(""))).contains("утратил")), "repealed_units", "info", F.col("kind")))
-    return out.unionByName(_issue(u.where(F.col("number").contains(".")), "fractional_numbers", "info", F.col("number")))
+    for k, above in ALLOWED_PARENTS.items():
+        allowed = allowed | ((kind == k) & F.col("__parent").isin(*above)) if above else allowed
+    hung, has_key = F.col("parent_unit_id").isNotNull(), F.size(key) > 0
+    falls = lambda column: has_key & F.col(column).isNotNull() & (key <= F.col(column))
+    empty = kind.isin("article", "point", "subpoint", "paragraph") & (F.trim("text") == "") & ~note & F.col("__host").isNull()
+    rules = [
+        ("duplicate_unit_id", "error", F.col("__nth") > 1, F.col("__nth")),
+        ("orphan_unit", "error", ~hung & (kind != "part"), kind),
+        ("missing_parent", "error", hung & F.col("__parent").isNull(), F.col("parent_unit_id")),
+        ("bad_parent_kind", "error", hung & F.col("__parent").isNotNull() & ~allowed, F.col("__parent")),
+        ("article_order", "error", is_article & falls("__article"), F.col("number")),
+        ("article_gap", "info", is_article & (F.size(key) == 1) & (F.size("__article") == 1) & (F.try_element_at(key, F.lit(1)) > F.try_element_at("__article", F.lit(1)) + 1), F.col("number")),
+        ("point_order", "error", (kind == "point") & falls("__sibling"), F.col("number")),
+        ("subpoint_order", "error", (kind == "subpoint") & falls("__sibling"), F.col("number")),
+        ("subpoint_number", "error", (kind == "subpoint") & ~has_key, F.col("number")),
+        ("empty_text", "warning", empty, kind),
+        ("repealed_units", "info", F.lower("text").rlike("^(?:" + "|".join(REPEALED_WORDS) + r")\s+силу") | note, kind),
+        ("fractional_numbers", "info", F.col("number").contains("."), F.col("number")),
+    ]
+    found = [F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))) for rule, severity, when, detail in rules]
+    return u.select("unit_id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.rule", "x.severity", "unit_id", "x.detail")
 
 
 def counts(units: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ paths or dates are made from their keys, on both sides alike.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from lexgrove.functions import hierarchy as H
 from lexgrove.functions import temporal as T
 from lexgrove.functions import text as X
 from lexgrove.operators import amendments, calculators, citations, corpus, evaluate, facts, interpret, monitor, resolve, search, validate
-from lexgrove.sources import readers
+from lexgrove.sources import readers, shared
 from lexgrove.streaming import monitor as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,7 +409,7 @@ def quote_gate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.holds_quote(F.col("text"), quote).alias("held"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+')) AS emails FROM documents")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^\s@<>()\[\],;:"«»]+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}')) AS emails FROM documents""")
 def redact_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.pii_counts("text")["EMAIL"].cast("long").alias("emails"))
 
@@ -546,8 +545,7 @@ def event_match(spark, sf):
 
 @query(f"WITH {MATCH} SELECT workspace_id, event_id, matched_by, 'open' AS status FROM m")
 def monitor_stream(spark, sf):
-    root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexgrove-")
-    here = f"{root.rstrip('/')}/monitor-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    here = shared.shared_folder(spark)
     stream_events(spark, sf).withColumn("act_code", F.lit("x")).withColumn("detected_at", F.current_timestamp()).write.parquet(f"{here}/log")
     streams.notify(spark, f"{here}/log", subscriptions(spark, sf), f"{here}/notifications", f"{here}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{here}/notifications").select("workspace_id", "event_id", F.array_join("matched_by", ",").alias("matched_by"), "status")
@@ -638,9 +636,9 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.variant_get(facts.json_block("props"), "$.k", "long").alias("k"))
 
 
-@query("""WITH t AS (SELECT 'u' || l_suppkey AS unit_id, sha256(l_partkey::VARCHAR) AS h FROM lineitem WHERE l_linenumber = 1), o AS (SELECT unit_id, max(h) AS h FROM t GROUP BY unit_id), n AS (SELECT unit_id, min(h) AS h FROM t GROUP BY unit_id)
+@query("""WITH t AS (SELECT 'u' || l_suppkey AS unit_id, sha256(l_partkey::VARCHAR) AS h FROM lineitem), o AS (SELECT unit_id, max(h) AS h FROM t GROUP BY unit_id), n AS (SELECT unit_id, min(h) AS h FROM t GROUP BY unit_id)
 SELECT unit_id, 'unit_text_changed' AS kind FROM o JOIN n USING (unit_id) WHERE o.h <> n.h""")
 def unit_change_events(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("u"), "l_suppkey").alias("unit_id"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("h"))
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("u"), "l_suppkey").alias("unit_id"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("h"))
     state = lambda f: rows.groupBy("unit_id").agg(f("h").alias("text_hash")).withColumn("in_force", F.lit(True))
     return monitor.unit_changes(state(F.max), state(F.min)).select("unit_id", "kind")

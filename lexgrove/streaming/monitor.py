@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexgrove.operators.monitor import match_events
+from lexgrove.sources.shared import exists
 
 EVENT = "event_id long, kind string, act_code string, unit_id string, doc_id string, detected_at timestamp"
 
@@ -20,19 +21,18 @@ def events(spark: SparkSession, folder: str, schema: str = EVENT, max_files: int
 
 
 def notify(spark: SparkSession, folder: str, subscriptions: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends new notifications to a table as events arrive, until what is there is done.
+    """Adds new notifications to a table as events arrive, until what is there is done.
 
-    Each batch is idempotent: keys that the target already holds are left out.
+    A batch overwrites its own partition ``batch=<number>``, so one that is run again after a failure leaves nothing
+    twice; keys that other batches hold are left out.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         found = match_events(batch, subscriptions)
-        try:
-            found = found.join(spark.read.parquet(target).select("workspace_id", "event_id"), ["workspace_id", "event_id"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):  # the first batch
-                raise
-        found.withColumn("status", F.lit("open")).write.mode("append").parquet(target)
+        if exists(spark, target):
+            told = spark.read.parquet(target).where(F.col("batch") != number)
+            found = found.join(told.select("workspace_id", "event_id"), ["workspace_id", "event_id"], "left_anti")
+        found.withColumn("status", F.lit("open")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return events(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

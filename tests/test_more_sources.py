@@ -43,3 +43,17 @@ def test_golden_run(spark):
     rows = [("search", ["a"], ["b", "a"]), ("search", ["a"], ["b"]), ("as_of_absent", [], []), ("resolve", ["x"], ["x"])]
     got = {r["kind"]: (r["ok"], r["n"]) for r in evaluate.golden_run(spark.createDataFrame(rows, "kind string, expected array<string>, got array<string>")).collect()}
     assert got == {"search": (1, 2), "as_of_absent": (1, 1), "resolve": (1, 1)}
+
+
+def test_every_document_file_but_positions_is_read(spark, tmp_path):
+    import json
+
+    for name in ("letters", "plenums", "positions_x"):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"doc_id": name, "kind": "plenum", "text": "t"}) + "\n")
+    assert sorted(r["doc_id"] for r in readers.documents(spark, str(tmp_path)).collect()) == ["letters", "plenums"]
+
+
+def test_subsection_in_capitals_starts_a_block(spark):
+    rows = [("a", 0, "ГЛАВА 1", True), ("a", 1, "ОБЩЕЕ", True), ("a", 2, "ПОДРАЗДЕЛ 2. ИНОЕ", True)]
+    got = readers.statute_blocks(spark.createDataFrame(rows, "k string, n int, block string, centred boolean"), "k").orderBy("n").collect()
+    assert [r["block"] for r in got] == ["ГЛАВА 1 ОБЩЕЕ", "ПОДРАЗДЕЛ 2. ИНОЕ"]

@@ -247,3 +247,46 @@ def test_windows_and_sessions(spark):
     df = spark.createDataFrame(rows, "user_id int, ts timestamp, value double")
     assert [r["n"] for r in streams.sessions(df, "ts", ["user_id"], "2 hours").orderBy("start").collect()] == [2, 1]
     assert streams.windowed(df, "ts", ["user_id"], "1 day").first()["total"] == 12.0
+
+
+def test_a_resolution_reads_references_once(spark):
+    units = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in ("act", "unit_id", "parent_unit_id", "kind", "number", "duplicate_of", "section_id", "chapter_id", "article_id", "point_id", "subpoint_id")], F.lit(1).alias("ord"))
+    from lexgrove.operators import resolve
+
+    refs = spark.range(7).select(F.concat(F.lit("r"), "id").alias("from_unit_id"), F.lit("internal_citation").alias("kind"), *[F.col("id").cast("string").alias(c) for c in ("section", "chapter", "article", "point", "subpoint")], F.col("id").cast("int").alias("paragraph_ordinal"), F.when(F.col("id") > 2, "article").alias("relative_to"))
+    plan = resolve.resolve(refs, units)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 7") == 1 and plan.count("Range (0, 3") <= 9
+
+
+def test_closure_has_no_depth_of_its_own(spark):
+    from lexgrove.functions import hierarchy as H
+
+    chain = spark.range(40).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    got = H.parent_closure(chain, "node", "parent")
+    assert got.count() == 40 * 39 // 2 and got.agg(F.max("distance")).first()[0] == 39
+    assert H.parent_closure(chain, "node", "parent", 5).agg(F.max("distance")).first()[0] == 5
+    with pytest.raises(ValueError):
+        H.parent_closure(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"), "node", "parent")
+
+
+def test_personal_values_by_their_writing(spark):
+    rows = {
+        "счёт 40702810000000000001": "СЧЁТ", "ОГРНИП 304770000012345": "ОГРН", "паспорт 4510123456": "ИНН", "паспорт 4510 123456": "ПАСПОРТ", "45 10 №123456": "ПАСПОРТ", "тел. 89161234567": "ТЕЛ", "тел. +7-916-123-45-67": "ТЕЛ",
+        "КПП:770001001": "КПП", "770001001": None, "№ 12345678901234": None, "СНИЛС 111-222-333 44": "СНИЛС", "Иванова И. И.": "ФИО", "И.И. Иванов": "ФИО", "Иванову Ивану Ивановичу": "ФИО", "Москва Тверская Улица": None, "a.b+c@mail.example.ru.": "EMAIL", "a@b": None, "01.02.2024": None, "100 000 000": None,
+    }
+    out = spark.createDataFrame([(k,) for k in rows], "text string").select("text", X.personal("text").alias("p")).collect()
+    assert {r["text"]: (r["p"][0]["kind"] if r["p"] else None) for r in out} == rows
+    assert spark.createDataFrame([("a.b@c.ru и a.b@c.ru",)], "text string").select(X.mask("text")).first()[0] == "[EMAIL] и [EMAIL]"
+
+
+def test_penalties_by_pieces_equal_days(spark):
+    from lexgrove.operators import calculators
+
+    d = dt.date
+    cases = spark.createDataFrame([(1, 1000.0, d(2021, 12, 1), d(2022, 5, 1), "organization"), (2, 5000.0, d(2024, 11, 1), d(2025, 4, 20), "organization"), (3, 700.0, d(2021, 12, 1), d(2022, 5, 1), "individual"), (4, 10.0, d(2019, 12, 1), d(2020, 5, 1), "organization"), (5, 10.0, d(2023, 1, 1), d(2023, 1, 1), "individual")], "case_id int, amount double, due date, paid date, taxpayer string")
+    rates = spark.createDataFrame([(d(2020, 1, 1), d(2022, 2, 1), 8.5), (d(2022, 2, 1), d(2022, 4, 1), 20.0), (d(2022, 4, 5), d(2025, 1, 15), 16.0), (d(2025, 1, 15), None, 21.0)], "valid_from date, valid_to date, rate double")
+    days = calculators.penalty_days(cases, rates)
+    want = {r["case_id"]: (r["v"], r["n"], r["r"]) for r in days.groupBy("case_id").agg(F.round(F.sum("daily"), 2).alias("v"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("rule")).alias("r")).collect()}
+    got = {r["case_id"]: (r["value"], r["days"], r["applied"][1:]) for r in calculators.penalties(cases, rates).collect()}
+    assert got == {i: want.get(i, (0.0, 0, [])) for i in range(1, 6)}
+    assert calculators.penalty_segments(cases, rates).groupBy("case_id").agg(F.sum("n").alias("n")).where("case_id = 2").first()["n"] == want[2][1]

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexgrove.plans import queries
+from lexgrove.plans import queries, statute_queries  # noqa: F401  registers its queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
