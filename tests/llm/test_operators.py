@@ -538,18 +538,29 @@ def test_toxicity_held_out_and_odd_cases(spark):
 
 
 def test_license_scan(spark, docs):
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    mit, bsd = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD"]
     rows = [
         (1, "Some prose.\nReleased under the MIT License.\nMore prose.", "en", "s", 0),
         (2, "This work is licensed under the GNU General Public License, version 3.", "en", "s", 0),
         (3, "He lost his driving license in the river.", "en", "s", 0),
-        (4, "Licensed under CC BY-NC 4.0.", "en", "s", 0), (5, "no cue here", "en", "s", 0), (6, None, None, None, None), (7, "", None, None, None),
-        (8, "Copyright law is old.\nAll rights reserved.", "en", "s", 0),
+        (4, "Licensed under CC BY-NC 4.0.", "en", "s", 0), (5, "no word that tells", "en", "s", 0), (6, None, None, None, None), (7, "", None, None, None),
+        (8, "Copyright law is old.\n\nAll rights reserved.", "en", "s", 0),
+        (9, wrap(next(t for t in mit if t.startswith("Permission")), 9) + "\n\n" + wrap(next(t for t in mit if "WARRANTY" in t), 9), "en", "s", 0),
+        (10, wrap(next(t for t in bsd if "DISCLAIMED" in t), 7), "en", "s", 0),
+        (11, "GPLv3", "en", "s", 0), (12, "BSD-3-Clause", "en", "s", 0), (13, "Distributed under the MIT license, see LICENSE for details.", "en", "s", 0), (14, "Licensed under the Eclipse Public License 2.0", "en", "s", 0),
+        (15, "Der Führerschein und die Lizenz.\nLa licence de chasse.", "de", "s", 0), (16, "word " * 3000 + "license", "en", "s", 0), (11, "GPLv3", "en", "s", 0),
     ]
-    got = {(r["doc_id"], r["line"]): (r["family"], r["confirmed"]) for r in licenses.scan(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    found = licenses.scan(data.table(spark, rows)).collect()
+    got = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in found}
     assert got[1, 1] == ("MIT", True) and got[2, 0] == ("GPL", True) and got[4, 0] == ("CC-BY-NC", True) and got[8, 1] == ("proprietary", True)
     assert got[3, 0][0] == licenses.UNKNOWN and not got[3, 0][1] and got[8, 0][0] == licenses.UNKNOWN
+    assert got[9, 0] == ("MIT", True) and got[9, 1][0] == "MIT" and got[10, 0] == ("BSD", True)
+    assert got[11, 0][0] == "GPL" and got[12, 0][0] == "BSD" and got[13, 0][0] == "MIT" and got[14, 0][0] == licenses.UNKNOWN
+    assert {got[k][0] for k in got if k[0] in (15, 16)} <= {licenses.UNKNOWN}
+    assert sum(r["doc_id"] == 11 for r in found) == 2  # a repeated row has its own
     assert not {k[0] for k in got} & {5, 6, 7}
-    assert licenses.scan(data.empty(spark)).count() == 0 and licenses.scan(docs).count() == 0
+    assert licenses.scan(data.empty(spark)).count() == 0 and {r["family"] for r in licenses.scan(docs).collect()} <= {licenses.UNKNOWN}
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
@@ -559,3 +570,25 @@ def test_license_scan(spark, docs):
 ])
 def test_empty_tables(spark, make):
     assert make(data.empty(spark)).count() == 0
+
+
+def test_license_probabilities_mean_what_they_say():
+    z, true = licenses.model()["held"]
+    p = licenses._softmax(z)
+    sure, right = p.max(1), p.argmax(1) == true.argmax(1)
+    assert right.mean() > 0.8 and abs(sure.mean() - right.mean()) < 0.05
+    for low, high in ((0.5, 0.8), (0.8, 0.95), (0.95, 1.01)):
+        some = (sure >= low) & (sure < high)
+        assert some.sum() > 30 and abs(sure[some].mean() - right[some].mean()) < 0.12
+    families = true[:, 0] == 0
+    assert families.sum() > 50 and (p[~families].argmax(1) == 0).mean() > 0.8  # families left out of a fold among them
+
+
+def test_paragraphs_without_a_telling_word_have_the_bias_alone():
+    m = licenses.model()
+    weighted = {w for g in m["weights"] for w in g.split(" ")}
+    assert m["bias"][0] == max(m["bias"])
+    for g, w in m["weights"].items():  # a gram without a telling word pulls to unknown, if anywhere
+        if not set(g.split(" ")) & set(m["words"]):
+            assert w[0] >= max(w[1:])
+    assert set(m["words"]) <= weighted
