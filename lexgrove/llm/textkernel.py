@@ -16,6 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 BATCH_BYTES = 1 << 19
+WINDOW_BLOCK = 60_000
 BITS = U64(31)
 PRIME = U64((1 << 31) - 1)
 
@@ -171,12 +172,15 @@ class Words:
 
 
 def window_hash(hashes: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """Hash of every k neighbouring entries (len - k + 1 of them; none if there are fewer)."""
-    n = len(hashes)
-    if n < k:
-        return np.zeros(0, dtype=U64)
-    at = np.arange(n - k + 1)
-    return segment_hash(hashes, at, at + k, base)
+    """Hash of every k neighbouring entries (len - k + 1 of them; none if there are fewer).
+
+    Taken block by block, so that the tables of powers stay small however long the row or the chunk.
+    """
+    out = np.empty(max(0, len(hashes) - k + 1), dtype=U64)
+    for i in range(0, len(out), WINDOW_BLOCK):
+        at = np.arange(min(WINDOW_BLOCK, len(out) - i))
+        out[i : i + len(at)] = segment_hash(hashes[i : i + len(at) + k - 1], at, at + k, base)
+    return out
 
 
 def whole_windows(first: np.ndarray, k: int, n: int) -> np.ndarray:

@@ -40,6 +40,15 @@ def test_windows_stay_in_their_row():
     assert len(window_hash(w.hashes, 20)) == 0
 
 
+def test_windows_do_not_depend_on_blocks(monkeypatch):
+    from lexgrove.llm import textkernel
+
+    h = np.random.default_rng(5).integers(0, 2**64, 1000, dtype=np.uint64)
+    whole = window_hash(h, 20)
+    monkeypatch.setattr(textkernel, "WINDOW_BLOCK", 7)
+    assert (window_hash(h, 20) == whole).all() and len(whole) == 981 and len(window_hash(h[:19], 20)) == 0
+
+
 def doubling(n, a, b):
     """The sequence that defeats every polynomial modulo a power of two, and its complement."""
     bits = [bin(i).count("1") & 1 for i in range(n)]
