@@ -37,7 +37,7 @@ BUCKETS = CLASSES * CLASSES
 WORD_ROWS, PAIR_ROWS, PLACE_ROWS = 4096, 8192, 16384
 #: Feature rows of the class softmax: word before, skips to two and three back (by bucket), pair before.
 CLASS_ROWS = WORD_ROWS + 2 * BUCKETS + PAIR_ROWS
-ROUNDS = 4
+ROUNDS = 2
 FOLDS = 10
 UNSEEN = 0.1
 STEP = 16_384
