@@ -286,9 +286,11 @@ def scan(docs: DataFrame) -> DataFrame:
     pairs = tokened.withColumn("_pairs", F.array_distinct(_native_grams(F.col("_t"), 2)))
     own = F.array_distinct(F.concat(F.col("_t"), _native_grams(F.col("_t"), 2), _native_grams(F.col("_t"), 3)))
     grams_ = pairs.withColumn("_own", own)
-    hits = grams_.select("doc_id", "_row", "paragraph", "_pairs", F.size("_own").alias("_n"), F.explode_outer("_own").alias("gram")).join(table, "gram", "left")
+    # the pairs of a paragraph travel with its first gram alone: a long paragraph is not copied for each of its grams
+    listed = F.transform("_own", lambda g, i: F.struct(g.alias("gram"), F.when(i == 0, F.col("_pairs")).alias("pairs")))
+    hits = grams_.select("doc_id", "_row", "paragraph", F.size("_own").alias("_n"), F.explode(listed).alias("x")).select("doc_id", "_row", "paragraph", "_n", "x.gram", "x.pairs").join(table, "gram", "left")
     sums = hits.groupBy("doc_id", "_row", "paragraph").agg(
-        F.first("_pairs").alias("_pairs"), F.first("_n").alias("_n"), *[F.coalesce(F.sum(F.element_at("w", i + 1)), F.lit(0)).alias(f"_s{i}") for i in range(k)]
+        F.first("pairs", ignorenulls=True).alias("_pairs"), F.first("_n").alias("_n"), *[F.coalesce(F.sum(F.element_at("w", i + 1)), F.lit(0)).alias(f"_s{i}") for i in range(k)]
     )
     z = F.array(*[F.lit(m["bias"][i] / 1e6) + F.col(f"_s{i}") / 1e6 / F.sqrt(F.greatest(F.col("_n"), F.lit(1)).cast("double")) for i in range(k)])
     scored = sums.select("doc_id", "_row", "paragraph", "_pairs", z.alias("_z")).withColumn("_top", F.array_max("_z"))
