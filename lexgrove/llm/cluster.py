@@ -33,11 +33,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ids_are_keys(docs: DataFrame) -> bool:
-    """Whether doc_id is a whole number that no two rows share. Moves one id a row at most."""
-    if docs.schema["doc_id"].dataType.typeName() not in INTEGERS:
+def ids_are_keys(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether the key is a whole number that no two rows share. Moves one id a row at most."""
+    if docs.schema[key].dataType.typeName() not in INTEGERS:
         return False
-    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").isEmpty()
+    return docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).isEmpty()
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import conversation_repair, exact_dedup, licenses, maxent, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from lexgrove.llm import conversation_repair, exact_dedup, hard_negatives, licenses, maxent, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op5_quality_rules": quality.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
 }
