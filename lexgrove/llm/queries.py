@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import conversation_repair, exact_dedup, hard_negatives, licenses, maxent, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from lexgrove.llm import conversation_repair, embedding_dedup, exact_dedup, hard_negatives, licenses, maxent, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
 def oracle_sql() -> dict[str, str]:
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }

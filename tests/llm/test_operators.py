@@ -385,12 +385,15 @@ def test_mixed_groups_lose_no_link(spark):
 def test_consistent_sampling_estimates_similarity():
     import pyarrow as pa
 
-    a = [f"w{i}" for i in range(400)]
-    b = a[:350] + [f"v{i}" for i in range(50)]
-    row, h, tf, _ = near_dedup.shingles(pa.array([" ".join(a), " ".join(b)]))
-    _, picked = near_dedup.bands(row, h, tf.astype(np.float32), 2)
-    same = (picked[:, 0] == picked[:, 1]).mean()
-    assert 0.3 < same < 0.9  # similarity 0.776, to the fourth power 0.36
+    same = []
+    for n in range(60):  # one pair is 20 tosses; the mean of many tells
+        a = [f"w{n}.{i}" for i in range(400)]
+        b = a[:350] + [f"v{n}.{i}" for i in range(50)]
+        row, h, tf, _ = near_dedup.shingles(pa.array([" ".join(a), " ".join(b)]))
+        _, picked = near_dedup.bands(row, h, tf.astype(np.float32), 2)
+        same.append((picked[:, 0] == picked[:, 1]).mean())
+    expected = (346 / (2 * 396 - 346)) ** 4
+    assert abs(np.mean(same) - expected) < 3 * np.std(same) / math.sqrt(len(same))
 
 
 def test_components(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexgrove.llm import embedding_dedup as ed
 from lexgrove.llm import hard_negatives as hn
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -92,3 +93,83 @@ def test_node_pairs_are_pruned(monkeypatch):
     monkeypatch.setattr(hn, "scores", lambda a, b: calls.append(len(a) * len(b)) or real(a, b))
     hn.dual_tree(x, n - 1, n, n + hn.LOW, n + hn.HIGH, y, np.arange(8_000), np.zeros(8_000, dtype=np.int64), 5, True)
     assert sum(calls) < 0.4 * 2_000 * 8_000
+
+
+# embedding near-dedup
+
+
+def brute_links(rows, threshold=0.9):
+    """vec_id, number of links, smallest vec_id reachable, for every row."""
+    sound = {}
+    for k, (i, v, _) in enumerate(rows):
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            x = np.array(v, dtype=np.float32).astype(float)
+            sound[k] = x / np.sqrt(x @ x)
+    links = {k: [j for j in sound if j != k and len(sound[j]) == len(x) and sound[j] @ x >= threshold] for k, x in sound.items()}
+    out = []
+    for k, (i, _, _) in enumerate(rows):
+        seen, todo = {k}, [k]
+        while todo:
+            for j in links.get(todo.pop(), []):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        out.append((i, len(links.get(k, [])), min(ids, default=None), i == min(ids, default=None)))
+    return collections.Counter(out)
+
+
+def spread(seed=3, n=260, dim=16):
+    """A group wider than the threshold: neighbours link, its ends do not."""
+    rng = np.random.default_rng(seed)
+    a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    t = np.sort(rng.uniform(0, 1.5, n))
+    x = np.cos(t)[:, None] * a + np.sin(t)[:, None] * b + 0.02 * rng.normal(size=(n, dim))
+    return [(5_000 + i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("hot, tile", [(64, 2_048), (6, 10)])
+def test_links_equal_brute_force_with_many_tables(spark, monkeypatch, hot, tile):
+    rows = vectors() + spread()
+    monkeypatch.setattr(ed, "HOT", hot)
+    monkeypatch.setattr(ed, "TILE", tile)
+    assert found(ed.near_vectors(table(spark, rows), recall=1 - 1e-9)) == brute_links(rows)
+
+
+def test_recall_and_no_false_link(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(150):  # pairs from just above the threshold to close copies, amid unlike vectors
+        x, r = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        r -= (r @ x) * x
+        c = 0.901 + 0.09 * g / 150
+        rows += [(10 * g, x.tolist(), 0), (10 * g + 1, (c * x + math.sqrt(1 - c * c) * r / np.linalg.norm(r)).tolist(), 0)]
+    rows += [(10_000 + i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3_000, 64)))]
+    want = {r[0]: r[1:] for r in brute_links(rows)}
+    got = {r["vec_id"]: r for r in ed.near_vectors(table(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(r["n_links"] <= want[i][0] for i, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(w[0] for w in want.values())
+
+
+def test_estimates_are_unbiased_and_within_bounds():
+    rng = np.random.default_rng(4)
+    d, n = 64, 4_000
+    x, r = rng.normal(size=(2, n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    r -= (r * x).sum(1)[:, None] * x
+    r /= np.linalg.norm(r, axis=1)[:, None]
+    y = 0.9 * x + math.sqrt(0.19) * r
+    a, b = x @ ed.rotation(d, 0), y @ ed.rotation(d, 0)
+    f = np.abs(a).sum(1) / math.sqrt(d)
+    about = (np.sign(a) * b).sum(1) / math.sqrt(d) / f
+    assert abs(about.mean() - 0.9) < 4 * about.std() / math.sqrt(n)
+    off = ed.DEVIATIONS * math.sqrt(0.19) * np.sqrt(1 / f**2 - 1) / math.sqrt(d - 1)
+    assert (about + off >= 0.9).all()
+    assert ((np.sign(a) != np.sign(b)).sum(1) <= ed.most_signs(d, 0.9)).all()
+
+
+def test_no_embeddings(spark):
+    assert ed.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+    rows = [(1, None, 0), (2, [], 0), (None, [0.0], 0), (4, [1.0], 0)]
+    assert found(ed.near_vectors(spark.createDataFrame(rows, SCHEMA))) == collections.Counter([(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, True), (4, 0, 4, True)])
