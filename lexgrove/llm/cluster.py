@@ -42,9 +42,9 @@ def ids_are_keys(docs: DataFrame, key: str = "doc_id") -> bool:
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a number of its own for every row, and that column's name; written, so that every use sees the same."""
-    taken = {c.lower() for c in docs.columns}
+    taken = [c.lower() for c in docs.columns]
     key = "__row__"
-    while key in taken:
+    while any(c.startswith(key) for c in taken):  # so that names made from it are free, too
         key += "_"
     return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
 

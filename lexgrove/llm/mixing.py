@@ -12,8 +12,9 @@ round(q (1 + n / 2S)) seats (the divisor lies between V / (S + n/2) and V / (S -
 in that range are listed: O(n) rows in all, whatever the number of seats.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; documents of
-size 0 give 0 words; repeated rows are laid on the ring one by one; an empty table gives an empty result;
-other columns are ignored by ``mix`` and kept by ``mixed_documents``.
+size 0 give 0 words; rows without doc_id are dealt by their text; repeated rows, and rows that share a doc_id, are laid on
+the ring one by one and stand or go one by one; an empty table gives an empty result; other columns, whatever their
+names, are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.llm.cluster import cut
+from lexgrove.llm.cluster import cut, with_row_key
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -72,11 +73,15 @@ def targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: fl
     return a.select("source", "source_size", "weight", F.least(F.col("_cap"), F.col("_level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source, source_size, target, shard, taken for each row of docs(doc_id, text, source)."""
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, shard, taken for each row of docs(doc_id, text, source); ``row`` names a
+    column of docs that goes along."""
+    own = [] if row is None else [row]
+    # rows without doc_id are dealt by their text
+    named_by = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     # written once: every later use reads these few bytes a row instead of the texts
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
+    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.when(F.col("doc_id").isNull(), named_by).alias("_text_key"), *own))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     # a null source becomes a value of its own, so that plain equality joins it
     named = sources.withColumn("_s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
@@ -86,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
     if wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # else an ordinary join, whose hot sources Spark splits
         wanted = F.broadcast(wanted)
 
-    text_id = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    text_id = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.col("_text_key")))
     dealt = (
         sized.withColumn("_s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
         .join(wanted, "_s")
@@ -97,7 +102,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
 
     ring = W.partitionBy("_s", "shard")
     placed = dealt.withColumn("_ring", F.sum("size").over(ring)).withColumn(
-        "_at", F.sum("size").over(ring.orderBy(F.md5(text_id), "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+        "_at", F.sum("size").over(ring.orderBy(F.md5(text_id), "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     )
     words = F.least(F.coalesce("won", F.lit(0)) * block, F.lit(cap) * F.col("_ring"))
     salt = F.concat_ws(":", F.lit(str(seed)), F.col("shard").cast("string"), F.col("_s.s"))
@@ -109,14 +114,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
 
     end = F.col("_start") + F.col("_rest")
     taken = F.floor(F.col("_words") / F.col("_len")) * F.col("size") + overlap(F.col("_start"), F.least(end, F.col("_ring"))) + overlap(F.lit(0), F.greatest(F.lit(0), end - F.col("_ring")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "shard", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "shard", taken.cast("long").alias("taken"), *own)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix has them: a document whose taken words are half its size or more stands once, one
-    and a half or more twice, others not. Rows that share a doc_id share its decision."""
-    times = mix(docs, **options).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__mix_times")).where("__mix_times > 0").withColumnRenamed("doc_id", "__mix_doc")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__mix_doc"))).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times").cast("long"))))
+    """docs as the mix has them, each row by its own share: a row whose taken words are half its size or more stands once,
+    one and a half or more twice, others not."""
+    keyed, key = with_row_key(docs)
+    times = mix(keyed, row=key, **options).where("size > 0").select(key, F.floor(F.col("taken") / F.col("size") + 0.5).alias(f"{key}times")).where(F.col(f"{key}times") > 0)
+    out = keyed.join(times, key).withColumn(f"{key}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{key}times").cast("long"))))
     return out.select(*docs.columns)
 
 
@@ -127,7 +133,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-         md5(concat_ws(':', '{SEED}', coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
+         md5(concat_ws(':', '{SEED}', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS h FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS budget,

@@ -128,7 +128,8 @@ def pack(pieces_: DataFrame, shards: int, room: int = ROOM) -> DataFrame:
         table = table.drop_columns(["_shard"])
         return table.append_column("sequence_id", pa.array(sequence * shards + shard)).append_column("offset", pa.array(offset))
 
-    dealt = pieces_.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards).cast("long")))
+    # without a doc_id, the content deals
+    dealt = pieces_.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(shards).cast("long")))
     return dealt.groupBy("_shard").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 

@@ -40,7 +40,7 @@ def rows(seed=3, n=60):
 def table(spark, data=None):
     """The rows with more columns, whose names clash with those the operators make."""
     df = spark.createDataFrame(rows() if data is None else data, SCHEMA)
-    clash = ["kept", "size", "taken", "score", "_text", "_digest", "_times", "_copy", "band", "hub", "label", "class_id", "keep_id", "n_words", "_chunk", "_s", "shard", "sequence_id", "__mix_times_", "toxic"]
+    clash = ["kept", "size", "taken", "score", "_text", "_digest", "_times", "_copy", "band", "hub", "label", "class_id", "keep_id", "n_words", "_chunk", "_s", "shard", "sequence_id", "__mix_times_", "__mix_times", "__mix_doc", "__mix_copy", "__row__", "__row___times", "_text_key", "_shard", "toxic"]
     return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
 
 

@@ -595,3 +595,22 @@ def test_paragraphs_without_a_telling_word_have_the_bias_alone():
         if not set(g.split(" ")) & set(m["words"]):
             assert w[0] >= max(w[1:])
     assert set(m["words"]) <= weighted
+
+
+def test_rows_without_doc_id_hold_targets_and_spread(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{rng.integers(9_000)}" for _ in range(100)) for _ in range(1_200)]
+    rows = [(None if i % 3 == 0 else i // 2, t, "en", "abc"[i % 3 if i % 2 else 0], 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, data.SCHEMA).select("*", *[F.lit(77).alias(c) for c in ("__mix_times", "__mix_doc", "__mix_copy", "__row__")])
+    shares = mixing.mix(docs, shard_words=4_000).cache()
+    targets = {r["source"]: r["target"] for r in shares.select("source", "target").distinct().collect()}
+    out = mixing.mixed_documents(docs, shard_words=4_000)
+    assert out.columns == docs.columns and {tuple(r) for r in out.select("__mix_times", "__mix_doc", "__mix_copy", "__row__").distinct().collect()} == {(77, 77, 77, 77)}
+    got = {r["source"]: 100 * r["count"] for r in out.groupBy("source").count().collect()}
+    # whole documents: half a document at each end of a shard's run
+    assert all(abs(got[s] - t) <= 100 * (1 + t / 4_000) for s, t in targets.items())
+    sizes = [r["count"] for r in shares.where("source = 'a'").groupBy("shard").count().collect()]
+    assert max(sizes) <= 2 * np.mean(sizes)
+    placed = packing.pack(packing.pieces(docs).select(F.lit(None).cast("long").alias("doc_id"), *[c for c in ("piece", "start", "length", "ids_crc32")]), 8)
+    shards = [r["count"] for r in placed.groupBy(F.col("sequence_id") % 8).count().collect()]
+    assert len(shards) == 8 and max(shards) <= 2 * np.mean(shards)
