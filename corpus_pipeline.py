@@ -1,8 +1,12 @@
 """documents -> training sequences: quality rules, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame;
-all but the last return the columns of documents. The two dedup stages decide per row, by a written row key of
-their own: one row of each group stays, also where rows share a doc_id or have none.
+all but the last return the columns of documents. Dedup and mixing decide per row, by a written row key of their own.
+
+Defined cases: rows that share a doc_id or have none are rows of their own: one row of each group of copies stays, and a
+row stands in the mix by its own share; null and empty texts fail the quality rules; very long texts pass through whole and
+are cut by packing only; among copies the longest text, then the smallest doc_id stays (null last); a null source is a
+source of its own; an empty table gives an empty result; other columns, whatever their names, are kept until packing.
 """
 
 from __future__ import annotations
