@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexgrove.functions.temporal import as_of, latest, valid_on
 from lexgrove.operators import amendments as A
 from lexgrove.operators import calculators, citations, interpret, monitor, resolve, search, statute
+from lexgrove.sources.store import Change, Store
 
 
 def load(texts: DataFrame, edition_day: str) -> dict[str, DataFrame]:
@@ -25,6 +26,37 @@ def load(texts: DataFrame, edition_day: str) -> dict[str, DataFrame]:
     }
 
 
+def reload_act(store: Store, act: str, units: DataFrame, unit_text: DataFrame, references: DataFrame, day: str) -> int:
+    """One act's units, texts and references replaced in one commit, with all that depends on them.
+
+    units(unit_id, ..), unit_text(unit_id, text, text_hash, ..) and references(from_unit_id, pending, to_unit_id, ..) are the new
+    state of the act; those of other acts stay as they are. In the same version: ``unit_text_archive`` gains the texts that
+    the load replaces, ``corpus_event`` the units added, changed and repealed (none on a first load), and every act's references
+    whose pending unit exists now point at it. Readers see all of it or none.
+    """
+    base = store.manifest()["version"]
+    loaded = bool(base) and store.has("unit_text", base)
+    tagged = lambda df: df.withColumn("act", F.lit(act))
+    state = lambda df: df.select("unit_id", "text_hash", F.lit(True).alias("in_force"))
+    changes = {"unit": Change(tagged(units), tag=act), "unit_text": Change(tagged(unit_text), tag=act)}
+    known, mine = units.select("unit_id"), references.withColumn("act", F.lit(act))
+    if loaded:
+        held = lambda name: store.read(name, base).drop("batch")
+        old = held("unit_text").where(F.col("act") == act)
+        events = monitor.unit_changes(state(old), state(unit_text)).withColumns({"act": F.lit(act), "detected": F.to_date(F.lit(day)), "version": F.lit(base + 1)})
+        replaced = old.join(unit_text.select("unit_id", "text_hash"), ["unit_id", "text_hash"], "left_anti").select("unit_id", "text_hash", "text", F.to_date(F.lit(day)).alias("archived_at"))
+        if store.has("unit_text_archive", base):
+            replaced = replaced.join(held("unit_text_archive").select("unit_id", "text_hash"), ["unit_id", "text_hash"], "left_anti")
+        changes |= {"unit_text_archive": Change(replaced, append=True), "corpus_event": Change(events, append=True)}
+        known = known.unionByName(held("unit").where(F.col("act") != act).select("unit_id"))
+        mine = mine.unionByName(held("reference").where(F.col("act") != act), allowMissingColumns=True)
+    elsewhere = F.when(F.col("to_unit_id").isNotNull() & F.col("__there").isNull(), F.col("to_unit_id")).otherwise(F.col("pending"))
+    # what pointed at a unit that is gone waits for it again
+    there = known.distinct().select(F.col("unit_id").alias("to_unit_id"), F.lit(True).alias("__there"))
+    mine = mine.join(there, "to_unit_id", "left").withColumns({"pending": elsewhere, "to_unit_id": F.when(F.col("__there"), F.col("to_unit_id"))}).drop("__there")
+    return store.commit(changes | {"reference": Change(resolve.link_pending(mine, known))}, base)
+
+
 def get_unit(units: DataFrame, unit_text: DataFrame, unit_id: str, day: str) -> DataFrame:
     """The unit's text in force on a day, or no row."""
     return as_of(unit_text.where(F.col("unit_id") == unit_id), day, ["unit_id"]).join(units.where(F.col("unit_id") == unit_id).select("unit_id", "label", "context", "kind"), "unit_id")
