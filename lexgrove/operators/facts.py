@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import personal, put_between, fact_value, holds_quote
+from lexgrove.functions.text import PII_KINDS, atoms, fact_value, holds_quote
 
 ROLES = ("viewer", "editor", "owner")
 DATED_ROLES = ("act_received", "decision_received", "decision_date", "complaint_decision_date")
@@ -43,20 +43,24 @@ def case_dates(facts: DataFrame) -> DataFrame:
 def redact(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, tokens map: every personal value replaced by [KIND-n], equal values by equal tokens, n by first place.
 
-    A text is its own scope, so this is a projection of built-in functions; ``restore`` undoes it exactly.
+    Where the text holds tokens of its own, n goes on behind the largest of them, so ``restore`` undoes it exactly. A text
+    is its own scope, so this is a projection of built-in functions.
     """
-    base = texts.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t")).withColumn("__found", personal("__t"))
-    listed = base.withColumn("__own", F.array_distinct("__found"))
-    place = lambda e: F.array_position(F.transform(F.filter("__own", lambda o: o["kind"] == e["kind"]), lambda o: o["value"]), e["value"])
-    named = listed.withColumn("__tokens", F.transform("__own", lambda e: F.concat(F.lit("["), e["kind"], F.lit("-"), place(e).cast("string"), F.lit("]"))))
-    tokens = F.transform("__found", lambda e: F.element_at("__tokens", F.array_position(F.col("__own"), e).cast("int")))
-    entries = F.map_from_arrays("__tokens", F.transform("__own", lambda e: e["value"]))
-    return named.select(key, F.when(F.size("__found") == 0, F.col("__t")).otherwise(put_between("__t", tokens)).alias(text), entries.alias("tokens"))
+    held = F.regexp_extract_all("__t", F.lit(rf"\[(?:{'|'.join(PII_KINDS)})-(\d{{1,9}})\]"), F.lit(1))
+    base = texts.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
+    base = base.select(key, atoms("__t").alias("__atoms"), F.coalesce(F.array_max(F.transform(held, lambda n: n.cast("int"))), F.lit(0)).alias("__from"))
+    listed = base.withColumn("__own", F.array_distinct(F.filter("__atoms", lambda a: a["kind"].isNotNull())))
+    # a value's number: how many values of its kind come up to it
+    place = lambda e, i: F.col("__from") + F.size(F.filter(F.slice("__own", 1, i + 1), lambda o: o["kind"] == e["kind"]))
+    named = listed.withColumn("__tokens", F.transform("__own", lambda e, i: F.concat(F.lit("["), e["kind"], F.lit("-"), place(e, i).cast("string"), F.lit("]"))))
+    token = lambda a: F.element_at("__tokens", F.array_position(F.col("__own"), a).cast("int"))
+    said = F.array_join(F.transform("__atoms", lambda a: F.when(a["kind"].isNull(), a["value"]).otherwise(token(a))), "")
+    return named.select(key, said.alias(text), F.map_from_arrays("__tokens", F.transform("__own", lambda e: e["value"])).alias("tokens"))
 
 
 def restore(texts: DataFrame, text: str = "text") -> DataFrame:
-    """texts(text, tokens) with every token replaced by its value, longest tokens first."""
-    put = F.reduce(F.array_sort(F.map_entries("tokens")), F.col(text), lambda acc, e: F.replace(acc, e["key"], e["value"]))
+    """texts(text, tokens) with every token replaced by its value; no token is part of another."""
+    put = F.reduce(F.map_entries("tokens"), F.col(text), lambda acc, e: F.replace(acc, e["key"], e["value"]))
     return texts.withColumn(text, put)
 
 

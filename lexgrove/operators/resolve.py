@@ -8,6 +8,7 @@ a number that several units answer to resolves to none.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrove.functions.temporal import valid_on
@@ -140,6 +141,11 @@ def link_pending(references: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def partial_report(resolved: DataFrame, samples: int = 25) -> DataFrame:
-    """cause, n, citations, a bounded sample of raw citations for partial references."""
-    p = resolved.where("status = 'partial'")
-    return p.groupBy(F.col("note").alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw_citation").alias("citations"), F.slice(F.sort_array(F.collect_set("raw_citation")), 1, samples).alias("sample"))
+    """cause, n, citations, the first ``samples`` raw citations of each cause of partial references.
+
+    Citations are counted once each before causes are ranked, and a task passes on no more of a cause than is shown."""
+    p = resolved.where("status = 'partial'").groupBy(F.col("note").alias("cause"), "raw_citation").agg(F.count(F.lit(1)).alias("n"))
+    named = p.where("raw_citation is not null").withColumn("__nth", F.row_number().over(W.partitionBy("cause").orderBy("raw_citation")))
+    shown = named.where(F.col("__nth") <= samples).groupBy(F.col("cause").alias("__cause")).agg(F.sort_array(F.collect_list("raw_citation")).alias("sample"))
+    totals = p.groupBy("cause").agg(F.sum("n").alias("n"), F.count("raw_citation").alias("citations"))
+    return totals.join(shown, F.col("cause").eqNullSafe(F.col("__cause")), "left").drop("__cause")

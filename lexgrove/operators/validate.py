@@ -57,7 +57,9 @@ def counts(units: DataFrame) -> DataFrame:
     return units.groupBy("kind").count()
 
 
-def report(issues: DataFrame) -> DataFrame:
-    """rule, severity, n and the first ten units of each rule."""
-    first = F.slice(F.sort_array(F.collect_list("unit_id")), 1, 10)
-    return issues.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+def report(issues: DataFrame, samples: int = 10) -> DataFrame:
+    """rule, severity, n and the first units of each rule; a task passes on no more of a rule than is shown."""
+    by = ["rule", "severity"]
+    first = issues.withColumn("__nth", F.row_number().over(W.partitionBy(*by).orderBy("unit_id"))).where(F.col("__nth") <= samples)
+    shown = first.groupBy(*by).agg(F.sort_array(F.collect_list("unit_id")).alias("first"))
+    return issues.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(shown, by, "left")

@@ -626,7 +626,15 @@ def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.html_text("html").alias("text"))
 
 
-@query()
+_ENTITIES = """replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&laquo;', '«'), '&raquo;', '»'), '&mdash;', '—'), '&amp;', '&')"""
+
+
+@query(rf"""WITH s AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g') AS t FROM pages),
+m AS (SELECT page_id, string_split(regexp_replace(regexp_replace(t, '(?i)<p(\s[^>]*)?>', chr(1) || 'open\1' || chr(2), 'g'), '(?i)</p(\s[^>]*)?>', chr(1), 'g'), chr(1)) AS l FROM s),
+p AS (SELECT page_id, unnest(range(len(l))) AS i, unnest(l) AS x FROM m), b AS (SELECT page_id, i, lower(split_part(x, chr(2), 1)) AS head, split_part(x, chr(2), 2) AS body FROM p WHERE x LIKE 'open%'),
+c AS (SELECT page_id, i, contains(head, 'center') AS centred, regexp_replace(regexp_replace(body, '(?i)<(?:br|/?p|/?div|/?li|/?h[1-6]|/?tr|/?table|/?ul|/?ol)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, i, centred, trim(regexp_replace({_ENTITIES.format('t')}, '[\s\x{{A0}}]+', ' ', 'g'), ' ') AS block FROM c)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS n, block, centred FROM d WHERE block <> ''""")
 def html_blocks(spark, sf):
     return readers.html_blocks(table(spark, sf, "pages"), "page_id")
 

@@ -247,3 +247,15 @@ def score_answers(spark, sf):
     citations = rows.select(c.alias("id"), F.lit(1).alias("rep"), F.explode(told).alias("x")).select("id", "rep", "x.*")
     answers = rows.select(c.alias("id"), F.lit(1).alias("rep"), F.when(c % 2 == 0, "Ответ не найден.").otherwise("Да.").alias("text"))
     return evaluate.score_answers(questions, citations, answers).drop("topic")
+
+
+@query("""SELECT c_custkey, '[ИНН-' || (c_custkey % 5 + 1) || '], ИНН [ИНН-' || (c_custkey % 5 + 2) || '] [ИНН-' || (c_custkey % 5 + 3) || '] [ТЕЛ-' || (c_custkey % 5 + 2) || '], [ФИО-1] у [ФИО-' || (c_custkey % 5 + 2) || '] Москва' AS text, true AS restored FROM customer""")
+def redacted_tokens(spark, sf):
+    """Texts that hold tokens of their own, numbers that only blanks part, and back."""
+    c = F.col("c_custkey")
+    number = lambda head, n: F.concat(F.lit(head), F.lpad(c.cast("string"), n, "0"))
+    text = F.concat(F.lit("[ИНН-"), c % 5 + 1, F.lit("], ИНН "), number("77", 8), F.lit(" "), number("50", 8), F.lit(" "), number("8 (495) ", 7), F.lit(", [ФИО-1] у Петрова А. Б. Москва"))
+    rows = table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+    red = facts.redact(rows, "c_custkey")
+    both = red.join(facts.restore(red).select("c_custkey", F.col("text").alias("__back")), "c_custkey").join(rows.withColumnRenamed("text", "__was"), "c_custkey")
+    return both.select("c_custkey", "text", (F.col("__back") == F.col("__was")).alias("restored"))
