@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexgrove.plans import queries, service_queries, statute_queries, store_queries  # noqa: F401  they register their queries
+from lexgrove.plans import queries, rule_queries, service_queries, statute_queries, store_queries  # noqa: F401  they register their queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
