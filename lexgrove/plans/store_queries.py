@@ -13,8 +13,9 @@ from lexgrove.operators import corpus, index, vector_index, versions
 from lexgrove.plans import statute_queries as Q
 from lexgrove.plans.queries import BM25, QUESTION, TERMS, TOKENS, VECTOR, query, table
 from lexgrove.plans.service_queries import said
-from lexgrove.sources import shared
+from lexgrove.sources import archive, shared
 from lexgrove.sources.store import Store
+from lexgrove.streaming import state
 
 _BUILT: dict[tuple, Store] = {}
 
@@ -280,3 +281,32 @@ def reload_versions(spark, sf):
     out = row(store.read("corpus_event").where("act = 'A'"), "event", "kind").unionByName(row(store.read("unit_text_archive"), "archive", "text"))
     out = out.unionByName(row(links.where("to_unit_id is not null"), "resolved", "to_unit_id", "from_unit_id")).unionByName(row(links.where("to_unit_id is null"), "pending", "pending", "from_unit_id"))
     return out.unionByName(row(store.read("unit_text", 2), "version 2", "text"))
+
+
+# streams
+
+
+@query("""WITH t AS (SELECT 'u' || l_suppkey AS unit_id, l_linenumber AS n, sha256(max(l_partkey)::VARCHAR) AS h FROM lineitem GROUP BY ALL), a AS (SELECT * FROM t WHERE n = 5), b AS (SELECT * FROM t WHERE n = 6), c AS (SELECT * FROM t WHERE n = 7),
+d AS (SELECT 2 AS load, coalesce(a.unit_id, b.unit_id) AS unit_id, a.h AS old, b.h AS new FROM a FULL JOIN b ON a.unit_id = b.unit_id UNION ALL SELECT 3, coalesce(b.unit_id, c.unit_id), b.h, c.h FROM b FULL JOIN c ON b.unit_id = c.unit_id)
+SELECT load, CASE WHEN old IS NULL THEN 'unit_added' WHEN new IS NULL THEN 'unit_repealed' ELSE 'unit_text_changed' END AS kind, unit_id FROM d WHERE old IS DISTINCT FROM new""")
+def unit_event_stream(spark, sf):
+    """Three loads stream in; the stream is stopped after the first and goes on from its checkpoint."""
+    here = shared.shared_folder(spark)
+    lines = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("u"), "l_suppkey").alias("unit_id"), "l_linenumber").agg(F.sha2(F.max("l_partkey").cast("string"), 256).alias("text_hash"))
+    loads = [lines.where(F.col("l_linenumber") == n).select("unit_id", "text_hash", F.lit(True).alias("in_force")) for n in (5, 6, 7)]
+    for n, now in enumerate(loads, 1):
+        state.load_rows(loads[n - 2] if n > 1 else None, now, n).write.mode("append").parquet(f"{here}/loads")
+        if n != 2:
+            state.unit_events(spark, f"{here}/loads", f"{here}/events", f"{here}/checkpoint")
+    return spark.read.schema(state.EVENTS).parquet(f"{here}/events")
+
+
+@query("SELECT page_id, url, md5(html) AS digest, DATE '2024-01-01' + (page_id % 12)::INT AS day FROM pages WHERE page_id % 12 >= 3")
+def archived_pages(spark, sf):
+    """A stored archive of pages by day, read through the data source with the days pushed."""
+    archive.register(spark)
+    here = shared.shared_folder(spark)
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 12).cast("int"))
+    table(spark, sf, "pages").select("page_id", "url", "html", day.alias("day")).write.partitionBy("day").json(f"{here}/pages")
+    rows = spark.read.format("page_archive").load(f"{here}/pages").where("day >= date'2024-01-04'")
+    return rows.select("page_id", "url", F.md5("html").alias("digest"), "day")
