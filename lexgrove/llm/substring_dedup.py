@@ -111,9 +111,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         codes, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
         spans = _by_part(codes)
         far = np.zeros(len(codes), dtype=bool)
+        where = {p: slice(a, b) for p, a, b in spans}
         for p, bits in _bits(answers, {p: b - a for p, a, b in spans}).items():
-            a, b = next((a, b) for q, a, b in spans if q == p)
-            far[a:b] = bits
+            far[where[p]] = bits
         ok = whole_windows(first, window, len(h))
 
         def holding(flags: np.ndarray) -> np.ndarray:
