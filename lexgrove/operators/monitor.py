@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.functions.hierarchy import related_join
+from lexgrove.functions.hierarchy import ancestors, article_of
 
 UNIT_KINDS = ("unit_text_changed", "unit_repealed", "unit_added")
 DOCUMENT_KINDS = ("document_added", "document_status_changed")
@@ -42,16 +42,33 @@ def match_events(events: DataFrame, subscriptions: DataFrame, cites: DataFrame |
     article) or document; one row per workspace and event. cites(workspace_id, doc_id): documents its files cite."""
     units = events.where(F.col("kind").isin(*UNIT_KINDS) & F.col("unit_id").isNotNull()).select("event_id", F.col("unit_id").alias("__event_unit"))
     # distinct units meet distinct subscriptions: a unit with many events is matched once, its events take the result
-    wanted = subscriptions.where("unit_id is not null").select("workspace_id", F.col("unit_id").alias("__unit")).distinct()
-    by_unit = related_join(units.select("__event_unit").distinct(), wanted, "__event_unit", "__unit").groupBy("__event_unit", "workspace_id").agg(F.collect_set("__unit").alias("__units"))
-    met = units.join(by_unit, "__event_unit")
-    hits = met.select("workspace_id", "event_id", F.explode("__units").alias("matched"))
+    by_unit = subscribed(units.select("__event_unit").distinct(), subscriptions.where("unit_id is not null").select("workspace_id", "unit_id").distinct())
+    hits = units.join(by_unit, "__event_unit").select("workspace_id", "event_id", "matched_by")
     docs = events.where(F.col("kind").isin(*DOCUMENT_KINDS) & F.col("doc_id").isNotNull()).select("event_id", "doc_id")
     by_doc = docs.join(subscriptions.where("doc_id is not null").select("workspace_id", "doc_id"), "doc_id").select("workspace_id", "event_id", F.col("doc_id").alias("matched"))
-    hits = hits.unionByName(by_doc)
     if cites is not None:
-        hits = hits.unionByName(docs.join(cites.select("workspace_id", "doc_id").distinct(), "doc_id").select("workspace_id", "event_id", F.col("doc_id").alias("matched")))
-    return hits.groupBy("workspace_id", "event_id").agg(F.sort_array(F.collect_set("matched")).alias("matched_by"))
+        by_doc = by_doc.unionByName(docs.join(cites.select("workspace_id", "doc_id").distinct(), "doc_id").select("workspace_id", "event_id", F.col("doc_id").alias("matched")))
+    # an event has a unit or a document, as its kind says
+    return hits.unionByName(by_doc.groupBy("workspace_id", "event_id").agg(F.sort_array(F.collect_set("matched")).alias("matched_by")))
+
+
+def subscribed(units: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """__event_unit, workspace_id, matched_by of distinct units and subscriptions(workspace_id, unit_id): subscribed units that
+    are the event's own, above or below it, or in its article.
+
+    What a workspace subscribes to in one article is one list, and an event's unit takes the list whole, so a hot article costs a row
+    for each workspace and unit, not for each pair of units. Above the article, and for events that touch no article,
+    ancestors meet by equality."""
+    wanted = subscriptions.select("workspace_id", F.col("unit_id").alias("__unit"), article_of("unit_id").alias("__article"))
+    inside = F.col("__article").contains(".art")
+    listed = wanted.where(inside).groupBy("workspace_id", "__article").agg(F.collect_list("__unit").alias("__units"))
+    own = units.withColumn("__article", article_of("__event_unit"))
+    same = own.where(inside).join(listed, "__article").select("__event_unit", "workspace_id", "__units")
+    one = F.array("__unit").alias("__units")
+    above = own.select("__event_unit", F.explode(ancestors("__event_unit")).alias("__unit")).join(wanted.where(~inside).drop("__article"), "__unit").select("__event_unit", "workspace_id", one)
+    below = own.where(~inside).select("__event_unit").join(wanted.select("workspace_id", "__unit", F.explode(ancestors("__unit")).alias("__event_unit")), "__event_unit").where(F.col("__unit") != F.col("__event_unit")).select("__event_unit", "workspace_id", one)
+    met = same.unionByName(above).unionByName(below).groupBy("__event_unit", "workspace_id").agg(F.flatten(F.collect_list("__units")).alias("__units"))
+    return met.select("__event_unit", "workspace_id", F.sort_array(F.array_distinct("__units")).alias("matched_by"))
 
 
 def new_notifications(existing: DataFrame, events: DataFrame, subscriptions: DataFrame, after_event: int, cites: DataFrame | None = None) -> DataFrame:
