@@ -49,6 +49,21 @@ class Citations:
             yield (*row, *(c["start" if n == "starts_at" else n] for n in self.ADDED.fieldNames()))
 
 
+class ShortCitations:
+    """short_citations(TABLE(t)): one row a citation of free text, in short or full form, with its place in ``text``."""
+
+    ADDED = StructType([StructField("raw", StringType()), StructField("starts_at", IntegerType()), *(StructField(n, StringType()) for n in ("article", "point", "subpoint")), StructField("paragraph_ordinal", IntegerType())])
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+        return _told(table, ("text",), ShortCitations.ADDED)
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        for c in citations.short_citations(row["text"] or ""):
+            ordinal = c.get("paragraph_ordinal")
+            yield (*row, c["raw"], c["start"], c["article"], c.get("point"), c.get("subpoint"), None if ordinal is None else int(ordinal))
+
+
 class Instructions:
     """instructions(TABLE(t)): one row an instruction of the amending law in ``text``, in its order."""
 
@@ -77,7 +92,7 @@ class DiffLines:
             yield (*row, *found)
 
 
-TABLES = {"citations": Citations, "instructions": Instructions, "diff_lines": DiffLines}
+TABLES = {"citations": Citations, "short_citations": ShortCitations, "instructions": Instructions, "diff_lines": DiffLines}
 
 
 def register(spark: SparkSession) -> None:

@@ -278,3 +278,44 @@ def audit_items(spark, sf):
     changes = c.select(said("a.art", "$c_custkey", ".p1").alias("target_unit_id"), F.date_add(F.to_date(F.lit("2021-01-01")), (key % 500).cast("int")).alias("effective_date"))
     edges = c.select(name(key), said("a.art", "$c_custkey").alias("unit_id"))
     return evaluate.audit(verified, cited, docs, changes, edges, "2022-01-01")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderkey % 400 + 1 AS a, o_custkey % 9 + 1 AS p, 'согласно п. ' || (o_custkey % 9 + 1) || ' ст. ' || (o_orderkey % 400 + 1) || ' НК РФ и ' AS head FROM orders)
+SELECT o_orderkey, 'п. ' || p || ' ст. ' || a AS raw, 9 AS starts_at, a::VARCHAR AS article, p::VARCHAR AS point, NULL AS subpoint, NULL::INT AS paragraph_ordinal FROM a
+UNION ALL SELECT o_orderkey, 'пп. 2 п. 1 ст. ' || (a + 1), length(head)::INT, (a + 1)::VARCHAR, '1', '2', NULL FROM a UNION ALL SELECT o_orderkey, 'абзаце втором пункта 3 статьи ' || a, (length(head) + length('пп. 2 п. 1 ст. ' || (a + 1)) + 4)::INT, a::VARCHAR, '3', NULL, 2 FROM a""")
+def sql_short_citations(spark, sf):
+    """Short and full forms in free text, by SQL alone."""
+    sql.register(spark)
+    table(spark, sf, "orders").createOrReplaceTempView("answered_orders")
+    return spark.sql("""
+        SELECT o_orderkey, raw, starts_at, article, point, subpoint, paragraph_ordinal FROM short_citations(TABLE(
+            SELECT o_orderkey, concat('согласно п. ', o_custkey % 9 + 1, ' ст. ', o_orderkey % 400 + 1, ' НК РФ и пп. 2 п. 1 ст. ', o_orderkey % 400 + 2, ', в абзаце втором пункта 3 статьи ', o_orderkey % 400 + 1) AS text FROM answered_orders))""")
+
+
+# accuracy of searches and golden runs
+
+_GOLDEN = """g AS (SELECT o_orderkey AS id, 'topic ' || (o_custkey % 7) AS topic, 'a.art' || (o_orderkey % 90) || CASE WHEN o_orderkey % 3 = 0 THEN '.p1' ELSE '' END AS want FROM orders),
+r AS (SELECT o_orderkey AS id, unnest(['lexical', 'dense']) AS variant, o_orderkey, o_custkey FROM orders), h AS (SELECT variant, id, n AS rank, 'a.art' || ((o_orderkey + CASE WHEN n = (o_custkey + length(variant)) % 8 + 1 THEN 0 ELSE n END) % 90) || CASE WHEN o_custkey % 2 = 0 THEN '.p2' ELSE '' END AS unit FROM r, (SELECT unnest(range(1, 9)) AS n))"""
+
+
+@query(f"""WITH {_GOLDEN}, t AS (SELECT g.id, topic, variant, max((want = unit OR starts_with(unit, want || '.') OR starts_with(want, unit || '.'))::INT) AS u, max((regexp_extract(want, '^a.art[0-9]+') = regexp_extract(unit, '^a.art[0-9]+'))::INT) AS a FROM g JOIN h ON g.id = h.id AND rank <= 5 GROUP BY ALL)
+SELECT variant, topic, count(*) AS n, sum(u)::BIGINT AS unit_at_k, sum(a)::BIGINT AS article_at_k FROM t GROUP BY ALL""")
+def search_accuracy(spark, sf):
+    """Questions whose expected unit, or its article, is among the first five, by variant and topic."""
+    o = table(spark, sf, "orders")
+    golden = o.select(F.col("o_orderkey").alias("id"), said("topic ", F.col("o_custkey") % 7).alias("topic"), F.array(F.concat(said("a.art", F.col("o_orderkey") % 90), F.when(F.col("o_orderkey") % 3 == 0, ".p1").otherwise(""))).alias("expected"))
+    rows = o.select(F.col("o_orderkey").alias("id"), "o_custkey", F.explode(F.array(F.lit("lexical"), F.lit("dense"))).alias("variant")).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    off = F.when(F.col("rank") == (F.col("o_custkey") + F.length("variant")) % 8 + 1, 0).otherwise(F.col("rank"))
+    results = rows.select("variant", "id", "rank", F.concat(said("a.art", (F.col("id") + off) % 90), F.when(F.col("o_custkey") % 2 == 0, ".p2").otherwise("")).alias("unit_id"))
+    return evaluate.search_accuracy(results, golden)
+
+
+@query("""WITH r AS (SELECT (['search', 'resolve', 'as_of', 'as_of_absent'])[(o_orderkey % 4 + 1)::INT] AS kind, CASE WHEN o_orderkey % 4 = 3 THEN o_custkey % 3 <> 0 ELSE o_custkey % 5 < 3 END AS hit FROM orders)
+SELECT kind, count(*) AS n, count(*) FILTER (hit) AS ok, count(*) FILTER (hit) / count(*) AS share FROM r GROUP BY kind""")
+def golden_figures(spark, sf):
+    """Searches, resolutions and reads on a day that found what was expected; absent ones that found nothing."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey")
+    none = F.array().cast("array<string>")
+    got = F.when(k == 3, F.when(c % 3 != 0, none).otherwise(F.array(F.lit("u9")))).otherwise(F.when(c % 5 < 3, F.array(F.lit("u2"), F.lit("u1"))).otherwise(F.array(F.lit("u2"))))
+    rows = table(spark, sf, "orders").select(F.element_at(F.array(*map(F.lit, ("search", "resolve", "as_of", "as_of_absent"))), (k + 1).cast("int")).alias("kind"), F.when(k == 3, none).otherwise(F.array(F.lit("u1"))).alias("expected"), got.alias("got"))
+    return evaluate.golden_run(rows)
