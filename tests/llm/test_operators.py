@@ -575,6 +575,18 @@ def test_empty_tables(spark, make):
     assert make(data.empty(spark)).count() == 0
 
 
+def test_licence_bodies_and_dedications(spark):
+    rows = {  # none of these paragraphs is a template
+        "Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work.": "Apache-2.0",
+        "This is free and unencumbered software, released into the public domain by us.": "Unlicense",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work.": "CC0",
+        "You may distribute the leaflets to the public in the park.": licenses.UNKNOWN,
+        "The committee granted a license to use the patent to the company in the city.": licenses.UNKNOWN,
+    }
+    found = licenses.scan(data.table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(rows)])).collect()
+    assert {r["doc_id"]: r["family"] for r in found} == dict(enumerate(rows.values()))
+
+
 def test_license_probabilities_mean_what_they_say():
     z, true = licenses.model()["held"]
     p = licenses._softmax(z)
