@@ -18,6 +18,8 @@ from lexgrove.operators.search import dense
 from lexgrove.sources.store import Change, Store
 
 SAMPLE, ROUNDS, MAX_CELLS = 16_384, 8, 4_096
+#: Vectors and queries that meet in one task of ``recall``.
+PART, SLICE = 65_536, 1_024
 
 
 def unit_rows(lists: pa.Array, d: int) -> np.ndarray:
@@ -103,26 +105,28 @@ class VectorIndex:
     def recall(self, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
         """key, hits: how many of each query's exact best k lie in the cells that it would probe.
 
-        Queries meet blocks of a partition's vectors by matrix products; a partition returns its best k of every query."""
-        asked = queries.select(key, vector).toArrow()  # a stated set of queries
-        c = self.centres()
-        q = unit_rows(asked[vector].combine_chunks(), c.shape[1])
-        order = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes]
-        probed = np.zeros((len(q), len(c)), dtype=bool)
-        np.put_along_axis(probed, order, True, 1)
-        sent, ids, d = self.store.spark.sparkContext.broadcast((q, probed)), asked[key].to_pylist(), c.shape[1]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, probed = sent.value
-            for b in batches:
-                s = q @ unit_rows(b.column("vector"), d).T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                cell = b.column("cell").to_numpy()[top]
-                row = np.repeat(np.arange(len(q)), top.shape[1])
-                yield pa.RecordBatch.from_pydict({"q": row, "key": b.column("key").take(pa.array(top.ravel())), "score": np.take_along_axis(s, top, 1).ravel(), "held": probed[row, cell.ravel()]})
-
-        live = self._live(self.store.read("vectors").select("key", "serial", "vector", "cell"))
-        found = live.select("key", "vector", "cell").mapInArrow(run, f"q long, key {dict(live.dtypes)['key']}, score double, held boolean")
+        Slices of queries meet parts of the vectors by matrix products, a task each; a task returns its best k of every query."""
+        sent, d = self.store.spark.sparkContext.broadcast(self.centres()), len(self.centres()[0])
+
+        def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+            if not len(asked) or not len(held):
+                return pa.table({"q": asked["q"][:0], "key": held["key"][:0], "score": pa.array([], pa.float64()), "held": pa.array([], pa.bool_())})
+            q = unit_rows(asked["vector"].combine_chunks(), d)
+            probed = np.zeros((len(q), len(sent.value)), dtype=bool)
+            np.put_along_axis(probed, np.argsort(-(q @ sent.value.T), axis=1, kind="stable")[:, :probes], True, 1)
+            s = q @ unit_rows(held["vector"].combine_chunks(), d).T
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(q)), top.shape[1])
+            cell = held["cell"].to_numpy()[top.ravel()]
+            return pa.table({"q": asked["q"].take(pa.array(row)), "key": held["key"].take(pa.array(top.ravel())), "score": np.take_along_axis(s, top, 1).ravel(), "held": probed[row, cell]})
+
+        live = self._live(self.store.read("vectors").select("key", "serial", "vector", "cell")).drop("serial")
+        asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("vector")).where(F.size("vector") == d)
+        parts, slices = max(1, -(-live.count() // PART)), max(1, -(-asked.count() // SLICE))
+        dealt = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("__slice", dealt("q", slices)).withColumn("__part", every(parts)).groupBy("__slice", "__part")
+        right = live.withColumn("__part", dealt("key", parts)).withColumn("__slice", every(slices)).groupBy("__slice", "__part")
+        found = left.cogroup(right).applyInArrow(run, f"q {dict(asked.dtypes)['q']}, key {dict(live.dtypes)['key']}, score double, held boolean")
         best = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "key", "held"))), 1, k).alias("best"))
-        names = self.store.spark.createDataFrame(list(enumerate(ids)), f"q long, {key} {dict(queries.dtypes)[key]}")
-        return best.join(F.broadcast(names), "q").select(key, F.size(F.filter("best", lambda r: r["held"])).alias("hits"))
+        return best.select(F.col("q").alias(key), F.size(F.filter("best", lambda r: r["held"])).alias("hits"))

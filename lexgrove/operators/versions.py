@@ -165,7 +165,7 @@ def apply_law_versions(units: DataFrame, texts: DataFrame, laws: DataFrame, dry_
     dated = laws.where("effective is not null")
     first = dated.groupBy("act").agg(F.min("effective").alias("__first"))
     live = texts.join(units.where("duplicate_of is null and kind <> 'paragraph'").select("unit_id", "act", "kind", "duplicate_of"), "unit_id")
-    begun = live.join(F.broadcast(first), "act").where((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("__first"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("__first"))))
+    begun = live.join(first, "act").where((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("__first"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("__first"))))
     ordered = dated.select("act", F.concat_ws("|", F.col("effective").cast("string"), F.col("law")).alias("law"), "text")
     told = patch.apply_laws(begun, ordered).withColumns({"effective": F.substring_index("law", "|", 1).cast("date"), "law": F.expr("substring(law, instr(law, '|') + 1)")})
     queued = patch.instructions(laws.where("effective is null")).select("act", "law", "nth", "operation", F.lit("queued").alias("status"), F.lit("no day of entry into force").alias("reason"))

@@ -21,9 +21,9 @@ _BUILT: dict[tuple, Store] = {}
 
 
 def built(spark: SparkSession, sf: str, name: str, build) -> Store:
-    """The store of this session and folder, made by build(store) at its first use."""
+    """The store of this session and folder, made by build(store) at its first use, and again where it is gone."""
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _BUILT:
+    if key not in _BUILT or not _BUILT[key].versions():
         store = Store(spark, shared.shared_folder(spark))
         build(store)
         _BUILT[key] = store
