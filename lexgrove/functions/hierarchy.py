@@ -38,14 +38,15 @@ def related_join(left: DataFrame, right: DataFrame, left_unit: str, right_unit:
     columns of ``on`` (left name, right name) agree.
 
     Each side lists its ancestors; pairs then meet by equality on them. The pair is found when one unit is
-    an ancestor of the other, which is an equality of the shorter one with a listed ancestor.
+    an ancestor of the other, which is an equality of the shorter one with a listed ancestor. Both sides are tables, and
+    listing makes them larger than the planner takes them to be, so neither is broadcast.
     """
 
     def meet(a: Column, b: Column) -> DataFrame:
         same = F.col("__left_key") == F.col("__right_key")
         for x, y in on:
             same = same & (F.col(x) == F.col(y))
-        return left.withColumn("__left_key", a).join(right.withColumn("__right_key", b), same)
+        return left.withColumn("__left_key", a).join(right.withColumn("__right_key", b).hint("merge"), same)
 
     up = meet(F.explode(ancestors(left_unit)), F.col(right_unit))
     down = meet(F.col(left_unit), F.explode(ancestors(right_unit))).where(F.col(left_unit) != F.col(right_unit))

@@ -20,20 +20,23 @@ def score_answers(questions: DataFrame, citations: DataFrame, answers: DataFrame
     correctness, abstention.
 
     questions(id, topic, expected array, abstain); citations(id, rep, unit_id, verdict), documents left out by the
-    caller; answers(id, rep, text). A cited unit hits when it equals an expected one, or is above or below it.
+    caller; answers(id, rep, text). A cited unit hits when it equals an expected one, or is above or below it. All tables
+    grow with the answers, so the joins merge sorted rows and nothing is broadcast.
     """
-    asked = answers.join(questions, "id").select("id", "rep", "topic", "text", "abstain", F.array_distinct("expected").alias("expected"))
+    asked = answers.join(questions.hint("merge"), "id").select("id", "rep", "topic", "text", "abstain", F.array_distinct("expected").alias("expected"))
     wanted = asked.select("id", "rep", F.explode("expected").alias("want"))
     found = citations.where("unit_id is not null").select("id", "rep", "unit_id").distinct()
-    cited_units = found.withColumnRenamed("id", "__cid").withColumnRenamed("rep", "__crep")
-    pairs = related_join(wanted, cited_units, "want", "unit_id", [("id", "__cid"), ("rep", "__crep")]).where(related(F.col("want"), F.col("unit_id")))
+    # an answer's expected and cited units meet by the answer: a handful times a handful, no list of ancestors
+    pairs = wanted.join(found.hint("merge"), ["id", "rep"]).where(related(F.col("want"), F.col("unit_id")))
     hits = pairs.groupBy("id", "rep").agg(F.count_distinct("want").alias("__recalled"), F.count_distinct("unit_id").alias("__right"))
     arts = lambda d, u: d.groupBy("id", "rep").agg(F.collect_set(article_of(u)).alias(f"__{u}_arts"))  # noqa: E731  an answer's citations: a handful
     cited = citations.groupBy("id", "rep").agg(
         F.count_distinct("unit_id").alias("__cited"), F.count(F.lit(1)).alias("citations"), F.count_if(F.col("verdict").isin("MISS", "STALE")).alias("hallucinated"),
         F.count_if(F.col("verdict") == "OK").alias("__ok"), F.count_if(F.col("verdict").isin("OK", "STALE")).alias("__dated"),
     )
-    rows = asked.join(hits, ["id", "rep"], "left").join(cited, ["id", "rep"], "left").join(arts(wanted, "want"), ["id", "rep"], "left").join(arts(found, "unit_id"), ["id", "rep"], "left")
+    rows = asked
+    for told in (hits, cited, arts(wanted, "want"), arts(found, "unit_id")):
+        rows = rows.join(told.hint("merge"), ["id", "rep"], "left")
     z = lambda name: F.coalesce(F.col(name), F.lit(0))
     n = F.size("expected")
     common = F.size(F.array_intersect("__want_arts", "__unit_id_arts"))
@@ -65,13 +68,14 @@ def spread(scores: DataFrame, metric: str = "precision_unit") -> DataFrame:
 
 def search_accuracy(results: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
     """variant, topic, n, unit_at_k, article_at_k: questions with an expected unit (its subtree) or article among the first k."""
-    top = results.where(F.col("rank") <= k).select("variant", F.col("id").alias("__hit_id"), "unit_id")
+    top = results.where(F.col("rank") <= k).select("variant", "id", "unit_id")
     want = golden.select("id", "topic", F.explode("expected").alias("want"))
     variants = results.select("variant").distinct()
-    near = related_join(want, top, "want", "unit_id", [("id", "__hit_id")])
+    # a question's expected units meet its first k by the question
+    near = want.join(top.hint("merge"), "id")
     hit = near.select("variant", "id", (article_of("want") == article_of("unit_id")).alias("__a"), related(F.col("want"), F.col("unit_id")).cast("int").alias("__u"))
     exact = hit.groupBy("variant", "id").agg(F.max("__u").alias("unit_at_k"), F.max(F.col("__a").cast("int")).alias("article_at_k"))
-    rows = golden.select("id", "topic").crossJoin(F.broadcast(variants)).join(exact, ["variant", "id"], "left")  # variants: a handful
+    rows = golden.select("id", "topic").crossJoin(F.broadcast(variants)).join(exact.hint("merge"), ["variant", "id"], "left")  # variants: a handful
     return rows.groupBy("variant", "topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("unit_at_k", F.lit(0))).alias("unit_at_k"), F.sum(F.coalesce("article_at_k", F.lit(0))).alias("article_at_k"))
 
 
