@@ -1,8 +1,8 @@
 """Amending laws: text to instructions, instructions to new unit texts, failures to a queue.
 
-Instructions of an act see the effects of earlier ones, so an act's units and instructions meet in one group
-(a few thousand rows); acts and laws run in parallel. Reading a law is a walk over its items with the address
-carried from a heading to its sub-items.
+Instructions see the effects of earlier ones on their article, so an article's units and instructions meet in one
+group; an act's articles are dealt to ``PARTS`` groups, and those that inserted articles link to one more. Reading a law
+is a walk over its items with the address carried from a heading to its sub-items.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions.text import word_date
 from lexgrove.operators.citations import NUMBER, ordinal_value
+from lexgrove.sources.shared import written
 
 QUOTES = str.maketrans("«»„“”", '"""""')
 INSTRUCTIONS = "act string, law string, nth int, operation string, article string, point string, subpoint string, paragraph int, old string, new string, new_kind string, new_number string, raw string"
@@ -35,6 +36,9 @@ PHRASES = (
     ("delete_words", re.compile(r"слова .*исключить")),
 )
 NEW_KINDS = {"пунктом": "point", "подпунктом": "subpoint"}
+#: Groups that an act's articles are dealt to, and what of a unit's path below its act tells the article.
+PARTS = 16
+ARTICLE = r"^(?:\.(?:ch|r|sub)[\w-]+)?\.art([^.]+)"
 
 
 @dataclass
@@ -103,7 +107,7 @@ def instructions(laws: DataFrame) -> DataFrame:
             rows = [{"act": a, "law": n, "nth": i} | r for a, n, t in zip(*(b.column(c).to_pylist() for c in ("act", "law", "text"))) for i, r in enumerate(read_law(t or ""))]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.int32() if n in ("nth", "paragraph") else pa.string()) for n in names], names=names)
 
-    return laws.select("act", "law", "text").mapInArrow(run, INSTRUCTIONS)
+    return laws.select("act", "law", "text").repartition("act", "law").mapInArrow(run, INSTRUCTIONS)
 
 
 class Failed(Exception):
@@ -117,13 +121,30 @@ class Act:
     act: str
     texts: dict[str, str]
     repealed: set[str] = field(default_factory=set)
+    articles: dict[str, str] = field(default_factory=dict)  # the first path of every article
+    inside: dict[str, list[str]] = field(default_factory=dict)  # units of an article's path
+
+    def __post_init__(self) -> None:
+        for unit in self.texts:
+            self.listed(unit)
+
+    def listed(self, unit: str) -> None:
+        m = re.match(ARTICLE, unit[len(self.act) :]) if unit.startswith(self.act) else None
+        if m:
+            path = self.act + m.group()
+            self.inside.setdefault(path, []).append(unit)
+            if path == unit:
+                self.articles.setdefault(m.group(1), unit)
+
+    def below(self, unit: str) -> list[str]:
+        """A unit of an article and those below it."""
+        path = self.act + re.match(ARTICLE, unit[len(self.act) :]).group()
+        return [u for u in self.inside[path] if u == unit or u.startswith(unit + ".")]
 
     def unit(self, i: dict, *, inside: str | None = None) -> str:
-        article = (i["article"] or "").replace(".", "-")
-        found = [u for u in self.texts if re.fullmatch(rf"{re.escape(self.act)}(?:\.(?:ch|r|sub)[\w-]+)?\.art{re.escape(article)}", u)] if article else []
-        if not found:
+        path = self.articles.get((i["article"] or "").replace(".", "-"))
+        if not path:
             raise Failed(f"article {i['article']} not found")
-        path = found[0]
         for key, mark in (("point", ".p"), ("subpoint", ".sp")):
             if i[key] and inside != key:
                 path += mark + i[key].replace(".", "-")
@@ -143,6 +164,7 @@ class Act:
             if unit in self.texts:
                 raise Failed("unit exists already")
             self.texts[unit] = i["new"]
+            self.listed(unit)
             return unit, "", i["new"]
         unit = self.unit(i)
         before = self.texts[unit]
@@ -151,7 +173,7 @@ class Act:
         if k and k > len(parts) or (i["operation"] == "delete_paragraph" and not k):
             raise Failed(f"no paragraph {k}")
         if i["operation"] == "repeal":
-            self.repealed |= {u for u in self.texts if u == unit or u.startswith(unit + ".")}
+            self.repealed.update(self.below(unit))
             after = ""
         elif i["operation"] == "replace":
             after = "\n\n".join([*parts[: k - 1], i["new"], *parts[k:]] if k else [i["new"]])
@@ -191,6 +213,11 @@ def apply_all(act: str, texts: dict[str, str], rows: list[dict]) -> tuple[Act, l
     return state, out
 
 
+def _part(act, article, linked):
+    """The group of an article: one of ``PARTS``, or the act's one of articles that insertions link."""
+    return F.when(linked, F.lit(-1)).otherwise(F.pmod(F.hash(act, F.coalesce(article, F.lit(""))), F.lit(PARTS)))
+
+
 def apply_laws(units: DataFrame, laws: DataFrame) -> DataFrame:
     """Outcome of every instruction of laws on units(act, unit_id, text)."""
 
@@ -201,8 +228,14 @@ def apply_laws(units: DataFrame, laws: DataFrame) -> DataFrame:
         _, out = apply_all(key[0], dict(zip(left["unit_id"], left["text"])), rows)
         return pd.DataFrame(out, columns=[f.split()[0] for f in RESULTS.split(", ")])
 
+    told = written(instructions(laws)).withColumn("__article", F.replace("article", F.lit("."), F.lit("-")))
+    new = told.where("operation = 'insert_unit' and new_kind = 'article'")
+    linked = new.select("act", F.explode(F.array("__article", F.replace("new_number", F.lit("."), F.lit("-")))).alias("__article")).where("__article is not null").distinct().withColumn("__linked", F.lit(True))
+    dealt = lambda d: d.join(linked.hint("merge"), ["act", "__article"], "left").withColumn("__part", _part(F.col("act"), F.col("__article"), F.col("__linked"))).drop("__article", "__linked")
     live = units.where("duplicate_of is null and kind <> 'paragraph'").select("act", "unit_id", "text")
-    return live.groupBy("act").cogroup(instructions(laws).groupBy("act")).applyInPandas(run, RESULTS)
+    path = F.when(F.col("unit_id").startswith(F.col("act")), F.substring("unit_id", F.length("act") + 1, F.length("unit_id")))
+    placed = live.withColumn("__article", F.nullif(F.regexp_extract(path, "(?U)" + ARTICLE, 1), F.lit(""))).where("__article is not null")  # no instruction reaches the others
+    return dealt(placed).groupBy("act", "__part").cogroup(dealt(told).groupBy("act", "__part")).applyInPandas(run, RESULTS)
 
 
 def patched(units: DataFrame, results: DataFrame) -> DataFrame:

@@ -20,3 +20,54 @@ def test_search_accuracy_broadcasts_variants_only(spark):
     golden = spark.createDataFrame([("q", "t", ["x.art1.p1"])], "id string, topic string, expected array<string>")
     hits = spark.createDataFrame([("lex", "q", "x.art1", 1)], "variant string, id string, unit_id string, rank int")
     assert "BroadcastHashJoin" not in plan(evaluate.search_accuracy(hits, golden))
+
+
+class Walked(dict):
+    walks = 0
+
+    def __iter__(self):
+        self.walks += 1
+        return super().__iter__()
+
+
+def test_an_instruction_does_not_walk_the_act():
+    act = patch.Act("a", Walked({f"a.ch1.art{k}{tail}": "one of" for k in range(200) for tail in ("", ".p1", ".p1.sp1")}))
+    told = {"point": "1", "subpoint": None, "paragraph": None, "old": None, "new": None, "new_kind": None, "new_number": None}
+    before = act.texts.walks
+    for k in range(200):
+        act.apply({**told, "article": str(k), "operation": "repeal"})
+    assert act.texts.walks - before < 5
+    assert len(act.repealed) == 400 and act.texts["a.ch1.art7.p1"] == ""
+
+
+def test_inserted_articles_are_changed_by_later_instructions(spark):
+    units = spark.createDataFrame([("a", f"a.ch1.art{k}{p}", kind, f"text {k}", None) for k in range(40) for p, kind in (("", "article"), (".p1", "point"))], "act string, unit_id string, kind string, text string, duplicate_of string")
+    items = ['статью 5 дополнить статьей 77 следующего содержания:\n"Text one."', 'в статье 77 слова "one" заменить словами "two"', *(f'в пункте 1 статьи {k} слова "text" заменить словами "words"' for k in range(40))]
+    law = "Внести следующие изменения:\n\n" + "\n\n".join(f"{n}) {x};" for n, x in enumerate(items, 1))
+    out = {r["nth"]: r for r in patch.apply_laws(units, spark.createDataFrame([("a", "1", law)], "act string, law string, text string")).collect()}
+    assert len(out) == 42 and {r["status"] for r in out.values()} == {"ok"}
+    assert (out[1]["unit_id"], out[1]["new_text"]) == ("a.ch1.art77", "Text two.") and out[41]["new_text"] == "words 39"
+
+
+def test_an_acts_articles_meet_in_several_groups(spark):
+    units = spark.createDataFrame([("a", f"a.art{k}", "article", "x", None) for k in range(50)], "act string, unit_id string, kind string, text string, duplicate_of string")
+    assert "__part" in plan(patch.apply_laws(units, spark.createDataFrame([("a", "1", "")], "act string, law string, text string")))
+
+
+class Units(list):
+    walks = 0
+
+    def __iter__(self):
+        self.walks += 1
+        return super().__iter__()
+
+
+def test_lost_points_are_found_in_one_walk():
+    scan = statute.Scan("a")
+    scan.run([x for k in range(1, 101) for x in (f"Статья {k}. T", "Ввод:", "1) один;", "2) два.", "2. Второй.")])
+    scan.units = Units(scan.units)
+    held = scan.units
+    scan.lost_first_points()
+    assert held.walks < 5
+    assert [u["number"] for u in scan.units if u["inferred"]] == ["1"] * 100
+    assert [(u["kind"], u["number"]) for u in scan.units[1:6]] == [("article", "1"), ("point", "1"), ("subpoint", "1"), ("subpoint", "2"), ("point", "2")]
