@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 ABBREVIATIONS = {"ндс": "налог на добавленную стоимость", "ндфл": "налог на доходы физических лиц", "нк рф": "налоговый кодекс", "усн": "упрощенная система налогообложения", "енс": "единый налоговый счет", "енп": "единый налоговый платеж", "ип": "индивидуальный предприниматель", "кнп": "камеральная налоговая проверка", "внп": "выездная налоговая проверка", "фнс": "федеральная налоговая служба"}
 K1, B, TEXT_WEIGHT, CONTEXT_WEIGHT = 1.2, 0.75, 1.0, 0.4
 RRF_K, DEPTH, STEM = 60, 30, 5
+PLACES = 9
 
 
 def tokens(text: str | Column) -> Column:
@@ -71,7 +72,8 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "unit_id", text: str = "t
 def two_pass(docs: DataFrame, query: str, k: int = 10, key: str = "unit_id", text: str = "text", context: str | None = None) -> DataFrame:
     """key, pass (strict, loose), score, rank: documents with every term first, then those with any, up to k.
 
-    The loose score r is shown as r / (r + 1). Text weighs 1.0 and context 0.4.
+    The loose score r is shown as r / (r + 1). Text weighs 1.0 and context 0.4. Ranks go by scores of ``PLACES`` decimals: the
+    order in which a sum meets its terms shows in the last bits, which would settle ties before the key does.
     """
     terms = sorted({t for t in query.lower().replace("ё", "е").split()})
     found = bm25(docs, terms, key, text).select(key, (F.col("score") * TEXT_WEIGHT).alias("score"), "matched")
@@ -80,7 +82,7 @@ def two_pass(docs: DataFrame, query: str, k: int = 10, key: str = "unit_id", tex
         found = found.unionByName(other).groupBy(key).agg(F.sum("score").alias("score"), F.max("matched").alias("matched"))
     strict = F.col("matched") == len(terms)
     graded = found.withColumn("pass", F.when(strict, "strict").otherwise("loose")).withColumn("score", F.when(strict, F.col("score")).otherwise(F.col("score") / (F.col("score") + 1)))
-    order = [(F.col("pass") == "strict").desc(), F.col("score").desc(), F.col(key)]
+    order = [(F.col("pass") == "strict").desc(), F.round("score", PLACES).desc(), F.col(key)]
     best = graded.orderBy(*order).limit(k)
     return best.select(key, "pass", "score", F.row_number().over(W.orderBy(*order)).alias("rank"))
 

@@ -71,3 +71,13 @@ def test_lost_points_are_found_in_one_walk():
     assert held.walks < 5
     assert [u["number"] for u in scan.units if u["inferred"]] == ["1"] * 100
     assert [(u["kind"], u["number"]) for u in scan.units[1:6]] == [("article", "1"), ("point", "1"), ("subpoint", "1"), ("subpoint", "2"), ("point", "2")]
+
+
+def test_last_bits_of_scores_settle_no_ties(spark, monkeypatch):
+    rows = spark.createDataFrame([(2, 1.0000000000000002, 1), (1, 1.0, 1), (3, 0.3, 2)], "key int, score double, matched int")
+    monkeypatch.setattr(search, "bm25", lambda *a: rows)
+    found = search.two_pass(rows.select("key", F.lit("").alias("text")), "a b", 3, "key")
+    assert [r["key"] for r in found.orderBy("rank").collect()] == [3, 1, 2]
+    monkeypatch.setattr(index.InvertedIndex, "bm25", lambda *a: rows)
+    monkeypatch.setattr(index.InvertedIndex, "analysed", lambda *a: ["a", "b"])
+    assert [r["key"] for r in index.InvertedIndex(None).two_pass("a b", 3).orderBy("rank").collect()] == [3, 1, 2]
