@@ -44,10 +44,11 @@ def redact(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """key, text, tokens map: every personal value replaced by [KIND-n], equal values by equal tokens, n by first place.
 
     Where the text holds tokens of its own, n goes on behind the largest of them, so ``restore`` undoes it exactly. A text
-    is its own scope, so this is a projection of built-in functions.
+    is its own scope, so this is a projection of built-in functions. It costs far more than reading, so the texts are dealt
+    to all tasks first: a few narrow columns in one file would be one task.
     """
     held = F.regexp_extract_all("__t", F.lit(rf"\[(?:{'|'.join(PII_KINDS)})-(\d{{1,9}})\]"), F.lit(1))
-    base = texts.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
+    base = texts.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t")).repartition(key, "__t")
     base = base.select(key, atoms("__t").alias("__atoms"), F.coalesce(F.array_max(F.transform(held, lambda n: n.cast("int"))), F.lit(0)).alias("__from"))
     listed = base.withColumn("__own", F.array_distinct(F.filter("__atoms", lambda a: a["kind"].isNotNull())))
     # a value's number: how many values of its kind come up to it

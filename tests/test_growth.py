@@ -81,3 +81,13 @@ def test_last_bits_of_scores_settle_no_ties(spark, monkeypatch):
     monkeypatch.setattr(index.InvertedIndex, "bm25", lambda *a: rows)
     monkeypatch.setattr(index.InvertedIndex, "analysed", lambda *a: ["a", "b"])
     assert [r["key"] for r in index.InvertedIndex(None).two_pass("a b", 3).orderBy("rank").collect()] == [3, 1, 2]
+
+
+def test_costly_row_work_is_dealt_to_all_tasks(spark):
+    from lexgrove.operators import citations, facts
+
+    rows = spark.createDataFrame([(k, f"ИНН 77{k:08d} в пункте 1 статьи {k}") for k in range(400)], "id int, text string").coalesce(1)
+    assert "Exchange hashpartitioning(id" in plan(facts.redact(rows, "id"))
+    assert "Exchange hashpartitioning(id" in plan(citations.extract_internal(rows, "id"))
+    back = facts.restore(facts.redact(rows, "id")).orderBy("id").collect()
+    assert [r["text"] for r in back] == [r["text"] for r in rows.orderBy("id").collect()]
