@@ -205,7 +205,7 @@ def citation_forms(spark, sf):
 def sql_citations(spark, sf):
     """The same rows by SQL alone: a table function over a whole table."""
     sql.register(spark)
-    citing(spark, sf).createOrReplaceTempView("citing_units")
+    citing(spark, sf).repartition("unit_id").createOrReplaceTempView("citing_units")  # all tasks read texts, not one a file
     return spark.sql("SELECT unit_id, kind, chapter, article, point, subpoint, paragraph_ordinal FROM citations(TABLE(citing_units))")
 
 
@@ -286,7 +286,7 @@ UNION ALL SELECT o_orderkey, 'пп. 2 п. 1 ст. ' || (a + 1), length(head)::IN
 def sql_short_citations(spark, sf):
     """Short and full forms in free text, by SQL alone."""
     sql.register(spark)
-    table(spark, sf, "orders").createOrReplaceTempView("answered_orders")
+    table(spark, sf, "orders").repartition("o_orderkey").createOrReplaceTempView("answered_orders")
     return spark.sql("""
         SELECT o_orderkey, raw, starts_at, article, point, subpoint, paragraph_ordinal FROM short_citations(TABLE(
             SELECT o_orderkey, concat('согласно п. ', o_custkey % 9 + 1, ' ст. ', o_orderkey % 400 + 1, ' НК РФ и пп. 2 п. 1 ст. ', o_orderkey % 400 + 2, ', в абзаце втором пункта 3 статьи ', o_orderkey % 400 + 1) AS text FROM answered_orders))""")
