@@ -20,6 +20,8 @@ from lexgrove.sources.store import Change, Store
 SAMPLE, ROUNDS, MAX_CELLS = 16_384, 8, 4_096
 #: Vectors and queries that meet in one task of ``recall``.
 PART, SLICE = 65_536, 1_024
+#: Scores that a task of ``recall`` holds at once.
+SCORES = 1 << 21
 
 
 def unit_rows(lists: pa.Array, d: int) -> np.ndarray:
@@ -39,6 +41,19 @@ def centres_of(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
+def nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of the best k by inner product, a few queries at a time: all scores at once would be the
+    largest thing that a task holds."""
+    step, rows, tops, scores = max(1, SCORES // len(x)), [], [], []
+    for at in range(0, len(q), step):
+        s = q[at : at + step] @ x.T
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        rows.append(at + np.repeat(np.arange(len(s)), top.shape[1]))
+        tops.append(top.ravel())
+        scores.append(np.take_along_axis(s, top, 1).ravel())
+    return np.concatenate(rows), np.concatenate(tops), np.concatenate(scores)
+
+
 class VectorIndex:
     """Vectors of one length; null vectors and those of other lengths are not indexed."""
 
@@ -114,11 +129,9 @@ class VectorIndex:
             q = unit_rows(asked["vector"].combine_chunks(), d)
             probed = np.zeros((len(q), len(sent.value)), dtype=bool)
             np.put_along_axis(probed, np.argsort(-(q @ sent.value.T), axis=1, kind="stable")[:, :probes], True, 1)
-            s = q @ unit_rows(held["vector"].combine_chunks(), d).T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(q)), top.shape[1])
-            cell = held["cell"].to_numpy()[top.ravel()]
-            return pa.table({"q": asked["q"].take(pa.array(row)), "key": held["key"].take(pa.array(top.ravel())), "score": np.take_along_axis(s, top, 1).ravel(), "held": probed[row, cell]})
+            x, cell = unit_rows(held["vector"].combine_chunks(), d), held["cell"].to_numpy()
+            row, top, score = nearest(q, x, k)
+            return pa.table({"q": asked["q"].take(pa.array(row)), "key": held["key"].take(pa.array(top)), "score": score, "held": probed[row, cell[top]]})
 
         live = self._live(self.store.read("vectors").select("key", "serial", "vector", "cell")).drop("serial")
         asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("vector")).where(F.size("vector") == d)

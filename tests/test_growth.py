@@ -91,3 +91,22 @@ def test_costly_row_work_is_dealt_to_all_tasks(spark):
     assert "Exchange hashpartitioning(id" in plan(citations.extract_internal(rows, "id"))
     back = facts.restore(facts.redact(rows, "id")).orderBy("id").collect()
     assert [r["text"] for r in back] == [r["text"] for r in rows.orderBy("id").collect()]
+
+
+def test_recall_holds_a_few_scores_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+
+    from lexgrove.operators.vector_index import nearest
+
+    rng = np.random.default_rng(1)
+    q, x = rng.standard_normal((1_024, 8)), rng.standard_normal((16_384, 8))
+    tracemalloc.start()
+    row, top, score = nearest(q, x, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = q @ x.T
+    want = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    assert (top.reshape(1_024, 10) == want).all() and np.allclose(score.reshape(1_024, 10), np.take_along_axis(s, want, 1)) and (row == np.repeat(np.arange(1_024), 10)).all()
+    assert peak < 8 * 1_024 * 16_384  # all scores once
