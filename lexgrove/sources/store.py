@@ -13,7 +13,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 MANIFESTS, DIGITS = "manifests", 12
 
@@ -25,13 +25,14 @@ class Conflict(RuntimeError):
 @dataclass(frozen=True)
 class Change:
     """Rows of a table for a commit: ``append`` keeps the earlier batches, ``tag`` those of other tags; ``partition`` lays
-    rows out by columns."""
+    rows out by columns, ``spread`` deals a partition's rows to several tasks by further ones."""
 
     rows: DataFrame
     append: bool = False
     tag: str | None = None
     partition: tuple[str, ...] = ()
     sort: tuple[str, ...] = ()
+    spread: tuple[Column, ...] = ()
 
 
 class Store:
@@ -79,7 +80,7 @@ class Store:
             change = change if isinstance(change, Change) else Change(change)
             rows = change.rows.drop("batch")
             if change.partition:
-                rows = rows.repartition(*change.partition).sortWithinPartitions(*change.partition, *change.sort)
+                rows = rows.repartition(*change.partition, *change.spread).sortWithinPartitions(*change.partition, *change.sort)
             rows.write.partitionBy(*change.partition).parquet(f"{self.root}/{name}/batch={batch}")
             held = [b for b in tables.get(name, []) if change.append or (change.tag is not None and b[1] != change.tag)]
             tables[name] = [*held, [batch, change.tag]]

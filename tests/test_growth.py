@@ -110,3 +110,23 @@ def test_recall_holds_a_few_scores_at_a_time():
     want = np.argsort(-s, axis=1, kind="stable")[:, :10]
     assert (top.reshape(1_024, 10) == want).all() and np.allclose(score.reshape(1_024, 10), np.take_along_axis(s, want, 1)) and (row == np.repeat(np.arange(1_024), 10)).all()
     assert peak < 8 * 1_024 * 16_384  # all scores once
+
+
+def test_postings_are_blocks_and_lost_documents_leave_them(spark, tmp_path):
+    from lexgrove.sources.store import Store
+
+    text = F.concat(F.lit("tax rate "), F.repeat(F.lit("tax "), (F.col("id") % 3).cast("int")), F.when(F.col("id") % 5 == 0, "due").otherwise(F.col("id").cast("string")))
+    docs = spark.range(200).select("id", F.when(F.col("id") != 7, text).alias("text"))
+    found = index.InvertedIndex(Store(spark, str(tmp_path / "i")), buckets=4)
+    found.add(docs, "id")
+    assert found.store.read("postings").where("term = 'tax'").count() == 1
+    found.add(docs.where("id % 10 = 3").withColumn("text", F.lit("due tax due")), "id")
+    found.remove(docs.where("id % 10 = 4"), "id")
+    now = docs.where("id % 10 <> 4").withColumn("text", F.when(F.col("id") % 10 == 3, "due tax due").otherwise(F.col("text")))
+    rows = lambda d, key: sorted((r[key], round(r["score"], 9), r["matched"]) for r in d.collect())
+    want = rows(search.bm25(now.na.fill("", ["text"]), ["tax", "due", "11"], "id"), "id")
+    assert rows(found.bm25(["tax", "due", "11"]), "key") == want
+    found.compact()
+    assert rows(found.bm25(["tax", "due", "11"]), "key") == want
+    assert {r["key"]: r["places"] for r in found.postings(["due"]).collect()}[3] == [0, 2]
+    assert found.store.read("postings").where(F.exists("keys", lambda k: k % 10 == 4)).count() == 0
