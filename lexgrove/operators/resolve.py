@@ -38,7 +38,7 @@ def by_numbers(rows: DataFrame, index: DataFrame, asked: list[tuple[str, str, Co
         n = F.col(number).cast("string")
         spelled = F.transform(number_variants(n), lambda v: F.struct(F.lit(kind).alias("kind"), parent.alias("parent"), v.alias("variant"), n.alias("number")))  # noqa: B023
         listed.append(F.when(n.isNotNull(), spelled).otherwise(F.filter(spelled, lambda v: F.lit(False))))
-    own = index.select(*[F.col(c).alias(f"__i_{c}") for c in ("kind", "parent", "variant", "number", "unit_id")])
+    own = index.select(*[F.col(c).alias(f"__i_{c}") for c in ("kind", "parent", "variant", "number", "unit_id")]).hint("merge")  # an index of all units, larger than the planner takes it to be
     sent = rows.select(F.struct(*rows.columns).alias("__row"), F.explode_outer(F.concat(*listed)).alias("__q"))
     met = sent.join(own, (F.col("__q.kind") == F.col("__i_kind")) & (F.col("__q.parent") == F.col("__i_parent")) & (F.col("__q.variant") == F.col("__i_variant")), "left")
     units = []
@@ -73,7 +73,7 @@ def resolve(references: DataFrame, units: DataFrame) -> DataFrame:
     rows = references.withColumn("__id", F.monotonically_increasing_id())
     act = F.col("act") if "act" in units.columns else F.lit(None).cast("string")
     source = units.select(F.col("unit_id").alias("from_unit_id"), act.alias("__act"), F.col("section_id").alias("__section"), F.col("chapter_id").alias("__chapter"), F.col("article_id").alias("__article"), F.col("point_id").alias("__point"), F.col("subpoint_id").alias("__subpoint"))
-    rows = rows.join(source, "from_unit_id", "left")
+    rows = rows.join(source.hint("merge"), "from_unit_id", "left")
     rows = by_numbers(rows, index, [(kind, kind, F.coalesce("__act", F.lit("")), f"__to_{kind}") for kind in ("section", "chapter", "article")])
     base_kind = F.coalesce("relative_to", F.when(F.col("point").isNotNull(), "article").otherwise("point"))
     base = F.when(base_kind == "article", F.col("__article")).when(base_kind == "chapter", F.col("__chapter")).when(base_kind == "section", F.col("__section")).when(base_kind == "point", F.col("__point")).otherwise(F.col("__subpoint"))
@@ -88,7 +88,7 @@ def resolve(references: DataFrame, units: DataFrame) -> DataFrame:
     named = units.where("kind = 'paragraph'").select(F.col("parent_unit_id").alias("__host"), F.col("number").cast("int").alias("paragraph_ordinal"), F.col("unit_id").alias("__to_ab"))
     lined = legal_lines(units).select(F.col("unit_id").alias("__host"), F.col("line").alias("paragraph_ordinal"), F.col("target").alias("__to_line"))
     named, lined = named.dropDuplicates(["__host", "paragraph_ordinal"]), lined.dropDuplicates(["__host", "paragraph_ordinal"])
-    rows = rows.join(named, ["__host", "paragraph_ordinal"], "left").join(lined, ["__host", "paragraph_ordinal"], "left")
+    rows = rows.join(named.hint("merge"), ["__host", "paragraph_ordinal"], "left").join(lined.hint("merge"), ["__host", "paragraph_ordinal"], "left")
 
     c = F.col
     container = c("article").isNull() & (c("chapter").isNotNull() | c("section").isNotNull())

@@ -130,3 +130,11 @@ def test_postings_are_blocks_and_lost_documents_leave_them(spark, tmp_path):
     assert rows(found.bm25(["tax", "due", "11"]), "key") == want
     assert {r["key"]: r["places"] for r in found.postings(["due"]).collect()}[3] == [0, 2]
     assert found.store.read("postings").where(F.exists("keys", lambda k: k % 10 == 4)).count() == 0
+
+
+def test_references_meet_units_without_broadcasts(spark):
+    from lexgrove.operators import resolve
+
+    units = spark.createDataFrame([], statute.UNIT_SCHEMA)
+    refs = spark.createDataFrame([], "kind string, from_unit_id string, section string, chapter string, article string, point string, subpoint string, paragraph_ordinal int, relative_to string")
+    assert "BroadcastHashJoin" not in plan(resolve.resolve(refs, units))
